@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
-from .common import read
+from . import bpe, langid, quality_mil, quality_rules, secrets, toxicity
+from .common import id_remainder, read
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +22,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), secrets.production_network()))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), id_remainder("doc_id", 4) == 2
+    model = langid.fit(docs, F.coalesce(~held, F.lit(False)))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 0
+    model = quality_mil.fit(docs, read(spark, sf_dir, "labels").filter(~held))
+    return quality_mil.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), id_remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~held))
+    return toxicity.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_secret_scan, op6_language_id, op7_quality_mil, op8_toxicity_nbsvm)}
 
 
 def oracle_sql() -> dict[str, str]:
