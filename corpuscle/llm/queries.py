@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality_mil, quality_rules, secrets, toxicity
+from . import bagminhash, bpe, langid, pii, quality_mil, quality_rules, secrets, toxicity
 from .common import id_remainder, read
 
 
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), secrets.production_network()))
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), id_remainder("doc_id", 4) == 2
     model = langid.fit(docs, F.coalesce(~held, F.lit(False)))
@@ -44,8 +48,12 @@ def op8_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_secret_scan, op6_language_id, op7_quality_mil, op8_toxicity_nbsvm)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_secret_scan, op4_bagminhash, op6_language_id, op7_quality_mil, op8_toxicity_nbsvm, op9_pii_bootstrap)}
 
 
 def oracle_sql() -> dict[str, str]:
