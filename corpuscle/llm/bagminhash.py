@@ -8,9 +8,9 @@ making points once they come later than all of its slots, so the work grows
 with shingles plus slots, not with their product, and two slots agree with the
 weighted Jaccard similarity as probability.
 
-Signatures are banded; members of a bucket are compared with the bucket's pivot
-and, where components still differ, with each other; links are verified by exact
-multiset overlap.
+Signatures are banded; members of a bucket are compared with the bucket's pivot;
+where components still differ, the bucket is compared wholly, in blocks. Links
+are verified by exact multiset overlap.
 """
 
 from __future__ import annotations
@@ -180,55 +180,114 @@ def true_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, threshold: float, broadcast_rows: int = 400_000, pairs_per_class: int = 8, rounds: int = 8) -> DataFrame | None:
-    """key, root for the classes that have a verified link to another; None if there is no candidate.
+def overlaps(queries: list[tuple[np.ndarray, np.ndarray]], targets: list[tuple[np.ndarray, np.ndarray]]):
+    """For each query bag, its overlap with every target bag, by one inverted index over the targets' shingles."""
+    ids = np.concatenate([t[0] for t in targets])
+    owner = np.repeat(np.arange(len(targets)), [len(t[0]) for t in targets])
+    counts = np.concatenate([t[1] for t in targets])
+    order = np.argsort(ids, kind="stable")
+    ids, owner, counts = ids[order], owner[order], counts[order]
+    for q in queries:
+        a, b = np.searchsorted(ids, q[0], "left"), np.searchsorted(ids, q[0], "right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield np.bincount(owner[at], np.minimum(counts[at], np.repeat(q[1], n)), len(targets))
+
+
+def block_links(rows: list[tuple[bytes, bytes, str, bool]], threshold: float) -> list[tuple[bytes, bytes]]:
+    """rows: key, component, text, whether it is a query. Links of queries to others, no more than unite the components."""
+    keys = {r[0]: r for r in rows}
+    names = list(keys)
+    bags = [bag(words_of(keys[k][2])) for k in names]
+    sizes = np.array([b[1].sum() for b in bags])
+    comp = [keys[k][1] for k in names]
+    parent = {c: c for c in comp}
+
+    def top(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    wanted = {r[0] for r in rows if r[3]}
+    asked = [i for i, k in enumerate(names) if k in wanted]
+    out = []
+    for i, low in zip(asked, overlaps([bags[i] for i in asked], bags), strict=True):
+        union = sizes + sizes[i] - low
+        for j in np.flatnonzero(low >= threshold * union):
+            a, b = top(comp[i]), top(comp[j])
+            if a != b:
+                parent[a] = b
+                out.append((min(names[i], names[j]), max(names[i], names[j])))
+    return out
+
+
+def compare_blocks(state: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """u, v: links that unite the components of every bucket in ``state`` (band, key, comp), no pair of members left out.
+
+    In each bucket that holds several components, the members outside its largest component are the
+    queries, compared with all members. A bucket is cut into blocks of about ``block`` queries and
+    ``block`` members; a task holds one pair of blocks at a time. Buckets with the same members count once.
+    """
+    by_comp = state.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"))
+    buckets = by_comp.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps"), F.sum("h").alias("h"))
+    buckets = buckets.filter("comps > 1").groupBy("n", "h").agg(F.min_by(F.struct("band", "most", "largest"), "band").alias("b"))
+    buckets = buckets.select("b.band", "b.largest", F.ceil(F.col("n") / block).alias("parts"), F.ceil((F.col("n") - F.col("b.most")) / block).alias("asks"))
+    rows = state.join(buckets, "band").withColumn("query", F.col("comp") != F.col("largest"))
+    part, ask = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("asks"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda p, a: F.struct(p.cast("long").alias("part"), a.cast("long").alias("ask"))
+    member = F.transform(upto("asks"), lambda a: F.struct(cell(part, a).alias("cell"), F.lit(False).alias("query")))
+    asker = F.when(F.col("query"), F.transform(upto("parts"), lambda p: F.struct(cell(p, ask).alias("cell"), F.lit(True).alias("query")))).otherwise(F.array().cast("array<struct<cell:struct<part:bigint,ask:bigint>,query:boolean>>"))
+    rows = rows.select("band", "key", "comp", F.explode(F.concat(member, asker)).alias("r")).select("band", "key", "comp", "r.cell.part", "r.cell.ask", "r.query")
+    rows = rows.join(texts, "key").select("band", "part", "ask", "key", "comp", "query", "text")
+    rows = rows.repartition("band", "part", "ask").sortWithinPartitions("band", "part", "ask")
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            links = block_links(held, threshold) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("band", "part", "ask", "key", "comp", "text", "query")]
+            for band, p, a, *row in zip(*cols, strict=True):
+                if now != (band, p, a):
+                    if held:
+                        yield done()
+                    now, held = (band, p, a), []
+                held.append(tuple(row))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "u binary, v binary")
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, threshold: float, broadcast_rows: int = 400_000) -> DataFrame | None:
+    """key, root for the classes that have a verified link to another; None if none has.
 
-    Every bucket first compares its members with one pivot. Members of one bucket that are then in
-    different components are all compared if there are at most ``pairs_per_class`` such pairs for each
-    class; else another pivot is taken first, up to ``rounds`` times, after which all are compared anyway.
+    Every bucket compares its members with one pivot: that settles most groups of near copies in one
+    pass. Buckets that then still hold several components are compared in blocks, wholly.
     """
     slots = classes.select("key", "size", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     slots = scratch.write(slots.join(shared, "band"), "slots")
     if slots.isEmpty():
         return None
-    members = slots.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-    members = scratch.write(members, "members")
-    n_members = members.count()
+    members = scratch.write(slots.select("key").distinct().join(classes.select("key", "doc_id"), "key"), "members")
     # 24 bytes a row: broadcast up to a checked count, else an ordinary join.
-    side = F.broadcast(members) if n_members <= broadcast_rows else members
+    side = F.broadcast(members) if members.count() <= broadcast_rows else members
     texts = scratch.write(true_texts(docs.join(side, docs["doc_id"].eqNullSafe(side["doc_id"])).select("key", "text")), "texts")
-    state, links, done = slots.withColumn("comp", F.col("key")), None, None
-    enough = F.least("size_u", "size_v") >= threshold * F.greatest("size_u", "size_v")
-    for k in range(rounds + 1):
-        open_ = state.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by("key", F.xxhash64("key", F.lit(k)) if k else F.col("key")).alias("pivot")).filter(F.col("first") != F.col("last"))
-        left = state.join(open_.select("band", "pivot"), "band")
-        if k:
-            sizes = left.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
-            open_pairs = (sizes.agg(F.sum("p")).first()[0] or 0) // 2
-            if not open_pairs:
-                break
-        whole = k > 0 and (open_pairs <= pairs_per_class * n_members or k == rounds)
-        if whole:
-            other = state.select("band", F.col("key").alias("v"), F.col("size").alias("size_v"), F.col("comp").alias("comp_v"))
-            pairs = left.withColumnsRenamed({"key": "u", "size": "size_u"}).join(other, "band").filter((F.col("u") < F.col("v")) & (F.col("comp") != F.col("comp_v")))
-        else:
-            pivot = left.filter("key = pivot").select("band", F.col("key").alias("p"), F.col("size").alias("size_v"), F.col("comp").alias("comp_v"))
-            pairs = left.withColumnRenamed("size", "size_u").join(pivot, "band").filter((F.col("key") != F.col("p")) & (F.col("comp") != F.col("comp_v")))
-            pairs = pairs.withColumns({"u": F.least("key", "p"), "v": F.greatest("key", "p")})
-        pairs = pairs.filter(enough).select("u", "v").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs{k}")
-        found = scratch.write(verify(pairs, texts, threshold), f"found{k}")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if whole:
-            break
-        if not found.isEmpty():
-            roots = components(links, scratch)
-            state = scratch.write(slots.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "key", "size", F.coalesce("root", "key").alias("comp")), f"state{k}")
-    return components(links, scratch).withColumnRenamed("id", "key")
+    pivots = slots.groupBy("band").agg(F.min_by(F.struct("key", "size"), "key").alias("p"))
+    fit = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size")
+    pairs = slots.join(pivots, "band").filter((F.col("key") != F.col("p.key")) & fit).select(F.col("p.key").alias("u"), F.col("key").alias("v")).distinct()
+    links = scratch.write(verify(pairs, texts, threshold), "found")
+    roots = components(links, scratch)
+    state = slots.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("comp"))
+    more = scratch.write(compare_blocks(scratch.write(state, "state"), texts, threshold).distinct(), "more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), scratch)
+    return None if roots.isEmpty() else roots.withColumnRenamed("id", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
