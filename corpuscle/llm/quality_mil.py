@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import doc_view, gram_ids, labelled_sample, map_texts, platt, sigmoid
+from .common import doc_view, gram_ids, labelled_sample, map_texts, platt, sigmoid, small_batches
 
 PASSAGE, ORDER, TRAITS = 64, 3, 5
 
@@ -167,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(rows_, bits)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (or the ``keep`` columns), score, predicted; one row for each input row, from the whole text.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """doc_id, score, predicted; one row for each input row, from the whole text.
 
     A null text scores as the empty one: a single passage without words.
     """
@@ -176,10 +177,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def work(texts):
         s = shared.value.scores(texts)
-        out = {"score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
-        return out | {"text": texts} if keep else out
+        return {"score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
 
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    if keep:
-        return map_texts(docs.select(*keep, "text"), work, [T.StructField("text", T.StringType()), *fields], keep=keep)
-    return map_texts(doc_view(docs, id_col, text_col), work, fields)
+    return map_texts(doc_view(docs, id_col, text_col), work, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at or above the threshold."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch.column(text_col).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -123,3 +123,22 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = base_rules(d).join(gone, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
     out = out.withColumn("depleted", F.coalesce("gone", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.coalesce("gone", F.lit(False)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "depleted")
+
+
+#: The same rows in DuckDB: hashes are replaced by the lines and windows themselves.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
+hosts AS (SELECT host, count(*) AS host_documents FROM d GROUP BY host),
+bodies AS (SELECT DISTINCT host, t FROM d),
+lines AS (SELECT host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS line FROM bodies)),
+per AS (SELECT host, t, line, sum(length(line)) AS chars FROM lines WHERE line <> '' GROUP BY ALL),
+hot AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM per GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.02 * host_documents),
+gone AS (SELECT host, t FROM (SELECT per.host, per.t, sum(chars) AS all_chars, sum(CASE WHEN hot.line IS NULL THEN 0 ELSE chars END) AS removed FROM per LEFT JOIN hot ON per.host = hot.host AND per.line = hot.line GROUP BY ALL) WHERE removed > 0 AND all_chars - removed < 0.2 * all_chars),
+o AS (SELECT w.doc_id, w.host, w.t, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id))
+SELECT o.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND gone.t IS NULL AS kept, gone.t IS NOT NULL AS depleted
+FROM o LEFT JOIN gone ON o.host = gone.host AND o.t = gone.t
+"""
