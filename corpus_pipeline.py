@@ -2,9 +2,61 @@
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.llm import bagminhash, bpe, mixing, pii, quality_mil
+from corpuscle.llm.common import Scratch, id_remainder, read
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids up to this count are broadcast (8 bytes each); beyond it the same join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_mil.fit(docs, read(spark, sf_dir, "labels").filter(id_remainder("doc_id", 5) != 0))
+    return quality_mil.accepted(docs.select(*COLUMNS), model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of least id; rows without an id stay."""
+    dropped = bagminhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    dropped = Scratch(spark, "pipeline").write(dropped, "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.select(*COLUMNS).join(side, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their personal data masked; a null text becomes the empty text."""
+    found = pii.find(docs, keep=("lang", "source", "n_chars"))
+    out = found.withColumn("text", pii.masked(F.col("text"), F.col("spans")))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights of source, language and topic."""
+    return mixing.mix(docs.select(*COLUMNS)).filter("mix_sampled").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+
+
+STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("tokens", encode)]
+
+#: Classifier, signatures and merges have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.write(docs, name.replace(" ", "-"))
+    return docs
