@@ -28,3 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+from . import corpus_queries, measure_queries, stats_queries, tokenizer_queries  # noqa: E402, F401  (they register themselves)
