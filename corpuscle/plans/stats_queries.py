@@ -1 +1,138 @@
-"""Queries."""
+"""Queries of paired statistics, exact tests and decision rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corpuscle.functions import text as X
+from corpuscle.operators import stats as H
+from corpuscle.sources import io
+
+from .catalog import query
+from .measure_queries import PAIRS, SCORES, both, scores
+
+B = 60
+DRAW = "('0x' || substr(md5(b || '|' || r), 1, 8))::BIGINT % n"
+LN2 = "ln(CAST(2 AS DOUBLE))"
+ROWS = PAIRS + ", q AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS r, count(*) OVER () AS n FROM p)"
+BY_DOMAIN = PAIRS + ", q AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY domain) AS n FROM p)"
+
+
+def ranked(spark, sf_dir, *by):
+    w = Window.partitionBy(*by).orderBy("i")
+    p = both(spark, sf_dir).join(scores(spark, sf_dir).filter("run = 'a'").select("i", "domain"), "i")
+    return p.withColumn("r", (F.row_number().over(w) - 1).cast("long"))
+
+
+def by_domain(spark, sf_dir):
+    sums = H.resampled(ranked(spark, sf_dir, "domain").select("domain", "r", "chars", "nats_a", "nats_b"), ["domain"], B, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
+    return sums
+
+
+@query(f"""WITH {ROWS}, d AS (SELECT b, r, {DRAW} AS j FROM (SELECT r, n FROM q), range({B}) t(b)),
+x AS (SELECT b, (sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)) AS diff FROM d JOIN q ON d.j = q.r GROUP BY b)
+SELECT round(quantile_cont(diff, 0.025), 6) AS lo, round(quantile_cont(diff, 0.5), 6) AS median, round(quantile_cont(diff, 0.975), 6) AS hi FROM x""")
+def paired_bootstrap(spark, sf_dir):
+    pairs = ranked(spark, sf_dir).select("r", "chars", "nats_a", "nats_b")
+    x = H.resampled(pairs, [], B, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
+    return x.select(((F.col("a") - F.col("b_")) / (F.ln(F.lit(2.0)) * F.col("c"))).alias("diff")).agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p")).select(*[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("lo", "median", "hi"))])
+
+
+STRATA = f"""{BY_DOMAIN}, d AS (SELECT domain, b, r, {DRAW} AS j FROM (SELECT domain, r, n FROM q), range({B}) t(b)),
+x AS (SELECT d.domain, b, sum(nats_a) / sum(nats_b) - 1 AS rel, sum(nats_a) / ({LN2} * sum(chars)) AS bpc FROM d JOIN q ON d.j = q.r AND d.domain = q.domain GROUP BY d.domain, b)"""
+
+
+@query(f"""WITH {STRATA}, m AS (SELECT b, avg(rel) AS rel FROM x GROUP BY b)
+SELECT round(quantile_cont(rel, 0.025), 6) AS lo, round(quantile_cont(rel, 0.5), 6) AS median, round(quantile_cont(rel, 0.975), 6) AS hi FROM m""")
+def stratified_bootstrap(spark, sf_dir):
+    x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / F.col("b_") - 1).alias("rel"))
+    return x.agg(*H.interval(F.col("rel"))).select(*[F.round(c, 6).alias(c) for c in ("lo", "median", "hi")])
+
+
+@query(f"""WITH {STRATA}, m AS (SELECT b, avg(bpc) AS bpc FROM x GROUP BY b)
+SELECT round(quantile_cont(bpc, 0.025), 6) AS lo, round(quantile_cont(bpc, 0.5), 6) AS median, round(quantile_cont(bpc, 0.975), 6) AS hi FROM m""")
+def bootstrap_group_mean(spark, sf_dir):
+    x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / (F.ln(F.lit(2.0)) * F.col("c"))).alias("bpc"))
+    return x.agg(*H.interval(F.col("bpc"))).select(*[F.round(c, 6).alias(c) for c in ("lo", "median", "hi")])
+
+
+INTERVALS = "v AS (SELECT domain, quantile_cont(rel, 0.025) AS lo, quantile_cont(rel, 0.975) AS hi FROM x GROUP BY domain)"
+
+
+@query(f"""WITH {STRATA}, {INTERVALS}
+SELECT CASE WHEN bool_and(hi < 0) THEN 'A better' WHEN bool_and(lo > 0) THEN 'B better' ELSE 'not distinguishable' END AS verdict FROM v""")
+def decide(spark, sf_dir):
+    v = by_domain(spark, sf_dir).groupBy("domain").agg(*H.interval(F.col("a") / F.col("b_") - 1))
+    return v.agg(H.decide(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+@query(f"""WITH {STRATA}, m AS (SELECT b, avg(rel) AS rel FROM x GROUP BY b)
+SELECT CASE WHEN quantile_cont(rel, 0.975) < 0 THEN 'small' ELSE 'large' END AS choice FROM m""")
+def choose_n(spark, sf_dir):
+    x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / F.col("b_") - 1).alias("rel"))
+    return x.agg(F.when(F.percentile("rel", 0.975) < 0, "small").otherwise("large").alias("choice"))
+
+
+@query(f"""WITH {STRATA}, {INTERVALS}, r AS (SELECT domain, 1 - sum(CASE WHEN run = 'a' THEN tokens END) / (2.0 * sum(CASE WHEN run = 'b' THEN tokens END)) AS reduction FROM s GROUP BY domain)
+SELECT bool_and(reduction >= 0.15 AND hi < 0.01) AS non_inferior, bool_and(reduction >= 0.75 AND hi < 0.01) AS strict FROM v JOIN r USING (domain)""")
+def noninferiority(spark, sf_dir):
+    v = by_domain(spark, sf_dir).groupBy("domain").agg(*H.interval(F.col("a") / F.col("b_") - 1))
+    t = scores(spark, sf_dir).groupBy("domain").pivot("run", ["a", "b"]).agg(F.sum("tokens")).select("domain", (1 - F.col("a") / (2 * F.col("b"))).alias("reduction"))
+    j = v.join(t, "domain")
+    return j.agg(H.non_inferior(F.col("reduction"), F.col("hi")).alias("non_inferior"), H.non_inferior(F.col("reduction"), F.col("hi"), least=0.75).alias("strict"))
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT *, ntile_ AS part FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY chars, i) <= (count(*) OVER ()) // 2 THEN 'short' ELSE 'long' END AS ntile_ FROM p))
+SELECT part, round((sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)), 6) AS diff, count(*) FILTER (nats_a < nats_b) AS favours_a, count(*) AS n FROM t GROUP BY part""")
+def sensitivity(spark, sf_dir):
+    p = both(spark, sf_dir)
+    k, n = F.row_number().over(Window.orderBy("chars", "i")), F.count("*").over(Window.partitionBy())
+    p = p.withColumns({"k": k, "n": n}).withColumn("part", F.when(F.col("k") <= F.floor(F.col("n") / 2), "short").otherwise("long"))
+    diff = (F.sum("nats_a") - F.sum("nats_b")) / (F.ln(F.lit(2.0)) * F.sum("chars"))
+    return p.groupBy("part").agg(F.round(diff, 6).alias("diff"), F.count_if(F.col("nats_a") < F.col("nats_b")).alias("favours_a"), F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n01, count(*) FILTER (quality = 0 AND toxic = 0) AS n10 FROM labels WHERE doc_id % 9 = 0),
+t AS (SELECT n01, n10, sum(exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(CAST(2 AS DOUBLE)))) AS tail FROM c, unnest(range(least(n01, n10) + 1)) u(i) GROUP BY n01, n10)
+SELECT n01 AS a_only, n10 AS b_only, round(CASE WHEN n01 + n10 = 0 THEN 1 ELSE least(1, 2 * tail) END, 9) AS p_value FROM t""")
+def mcnemar(spark, sf_dir):
+    # Every ninth item is the paired subset that the test is about; the other measures use all labels.
+    l = io.table(spark, sf_dir, "labels").filter("doc_id % 9 = 0")  # noqa: E741
+    a, b = F.col("quality") == 1, F.col("toxic") == 0
+    c = l.agg(F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"))
+    return c.withColumn("p_value", F.round(H.mcnemar_p(F.col("a_only"), F.col("b_only")), 9))
+
+
+@query()
+def t_threshold(spark, sf_dir):
+    return spark.range(1, 31).select(F.col("id").alias("df"), F.round(H.t_quantile_udf(F.lit(0.975), F.col("id").cast("double")), 6).alias("t"))
+
+
+@query()
+def binomial_lower(spark, sf_dir):
+    c = io.table(spark, sf_dir, "labels").groupBy("toxic").agg(F.sum("quality").cast("long").alias("k"), F.count("*").alias("n"))
+    return c.withColumn("lower", F.round(H.binomial_lower_udf("k", "n"), 9))
+
+
+@query()
+def inclusion(spark, sf_dir):
+    c = binomial_lower(spark, sf_dir)
+    return c.select("toxic", (F.col("lower") > 0.25).alias("included"))
+
+
+@query()
+def noise_threshold(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    seed = s.groupBy("domain", (F.col("i") % 3).alias("seed")).agg(X.bpc(F.col("nats"), F.col("chars")).alias("bpc"))
+    first = seed.filter("seed = 0").select("domain", F.col("bpc").alias("base"))
+    d = seed.filter("seed > 0").join(first, "domain").select((F.col("bpc") - F.col("base")).alias("d"))
+    a = d.agg(F.count("*").alias("k"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("sigma"))
+    return a.select("k", F.round(H.t_quantile_udf(F.lit(0.975), F.col("k").cast("double")) * F.col("sigma"), 6).alias("threshold"))
+
+
+@query(f"""WITH {SCORES}, g AS (SELECT domain, i % 2 AS depth, run, sum(nats) / ({LN2} * sum(chars)) AS bpc FROM s GROUP BY ALL)
+SELECT domain, CAST(depth AS BIGINT) AS depth, round(max(CASE WHEN run = 'a' THEN bpc END) - max(CASE WHEN run = 'b' THEN bpc END), 6) AS effect FROM g GROUP BY domain, depth""")
+def scaling_pivot(spark, sf_dir):
+    wide = scores(spark, sf_dir).groupBy("domain", (F.col("i") % 2).alias("depth")).pivot("run", ["a", "b"]).agg(X.bpc(F.col("nats"), F.col("chars")))
+    return wide.select("domain", "depth", F.round(F.col("a") - F.col("b"), 6).alias("effect"))
