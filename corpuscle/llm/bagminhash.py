@@ -28,6 +28,8 @@ from .common import Scratch, doc_view, map_texts, small_batches
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
+#: Distinct shingles whose points are made together: about 20 MB.
+STRIPS = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MASK = (1 << 64) - 1
 
@@ -44,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hash(word: str) -> int:
     got = _words.get(word)
     if got is None:
-        if len(_words) > 500_000:
+        if len(_words) > 50_000:
             _words.clear()
         got = _words[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
     return got
@@ -142,7 +144,15 @@ def sign(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 bags.append(bag(words))
             keys.append(key)
             index.append(place[key])
-        b = bands(signatures(bags, n_bands * rows), rows)
+        # In parts of bounded size: a few very long texts may share a batch.
+        parts, room = [[]], STRIPS
+        for x in bags:
+            if parts[-1] and room < len(x[0]):
+                parts.append([])
+                room = STRIPS
+            parts[-1].append(x)
+            room -= len(x[0])
+        b = np.concatenate([bands(signatures(p, n_bands * rows), rows) for p in parts])
         sizes = [int(x[1].sum()) for x in bags]
         return {"key": keys, "size": [sizes[i] for i in index], "bands": [b[i].tolist() if sizes[i] else [] for i in index]}
 

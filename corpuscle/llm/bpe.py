@@ -74,6 +74,18 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     return map_texts(doc_view(docs, id_col, text_col), work, [T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: both directions in one pass, so that a task keeps one tokenizer, not two."""
+
+    def work(texts):
+        tokenizer = load(rank_path, pattern)
+        ids = [encode_text(tokenizer, t) for t in texts]
+        return {"ids": ids, "decoded": [tokenizer.decode_bytes(i) for i in ids]}
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
+    return map_texts(doc_view(docs, id_col, text_col), work, fields)
+
+
 def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Adds ``decoded``, the raw bytes of ``ids``; bytes that are no valid UTF-8 stay as they are. Null ids give null."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch sent to Python: texts may be long, so batches stay small.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,8 @@ def map_texts(df: DataFrame, work, fields: list[T.StructField], keep: tuple[str,
             cols = [batch.column(k) for k in keep] + [made[n] for n in names]
             arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            del made, cols, arrays, batch
+            pa.default_memory_pool().release_unused()
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return bpe.digests(bpe.encode_decode(read(spark, sf_dir, "documents"), path, pattern))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

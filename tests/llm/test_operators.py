@@ -32,6 +32,8 @@ def test_bpe(spark):
     for r in got:
         t = texts[r["doc_id"]] or ""
         assert list(r["ids"]) == tok.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
+    both = bpe.encode_decode(docs(spark, texts), PATH, PATTERN).collect()
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in both} == {r["doc_id"]: (r["ids"], r["decoded"]) for r in got}
     rng = np.random.default_rng(0)
     for _ in range(200):
         t = "".join(rng.choice(list("ab1' \n!é日"), 60))
