@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    return bpe.digests(bpe.encode_decode(docs, path, pattern))
 
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("tokens", encode)]
