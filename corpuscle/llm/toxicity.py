@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Presence of hashed runs of 6 bytes (word edges included) is multiplied by the
+Presence of hashed runs of 5 bytes (word edges included) is multiplied by the
 log ratio of their rates in toxic and other texts; a logistic regression on
 these features is trained with averaged steps and calibrated by Platt's method.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .common import doc_view, gram_ids, labelled_sample, map_texts, platt, sigmoid, text_bytes
 
-ORDER = 6
+ORDER = 5
 
 
 def grams(text: str | None, bits: int) -> np.ndarray:
