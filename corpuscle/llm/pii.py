@@ -1,9 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Fixed rules give seed entities. The words before an entity and the entity's
-shape form a lexical pattern; patterns and instances form a bipartite graph
-whose scores are iterated in Spark, and patterns of high confidence discover
-identifiers that no rule covers.
+Fixed rules give seed entities. The words before an entity form a lexical
+pattern; patterns and instances form a bipartite graph whose scores are iterated
+in Spark, and patterns of high confidence discover identifiers that no rule covers.
 
 Places are found without a user function: the matches and the gaps between them
 (the text split by the same expression) have the same order, so running sums of
@@ -78,33 +77,44 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def shape(value: Column) -> Column:
-    """Letters as a, digits as 0, runs of one character as two."""
-    s = F.regexp_replace(F.regexp_replace(value, r"\p{L}", "a"), r"\p{N}", "0")
-    return F.regexp_replace(s, r"(.)\1{2,}", "$1$1")
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
-    """host key columns, token spans with the two words before them: one row for each token with a digit or an at sign."""
+    """doc_id, body, start, end, value, context, seed: the rule spans (seeds) and the other tokens with four digits or more, each with the words before it.
+
+    The context is the two white-space words before the token where the occurrence starts, of any
+    length, in lower case with digits as 0; near the start of the text it is ``^`` and one word, or ``^``.
+    """
     found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     gaps = F.split("text", TOKEN, -1)
     d = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "body", "spans", found.alias("found"), gaps.alias("gaps"))
-    lead = F.lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 1), r"(\S{1,40}\s{1,4}\S{1,40})\s{1,4}$", 1))
     d = d.withColumn("sizes", F.zip_with("found", F.slice("gaps", 1, F.greatest(F.size("found"), F.lit(1))), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))))
     ends = F.aggregate(
         F.filter("sizes", lambda s: s["m"].isNotNull()),
         F.array(F.lit(0)),
         lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["g"] + s["m"])),
     )
-    d = d.select("doc_id", "body", "spans", "gaps", ends.alias("ends"), F.posexplode("found").alias("i", "token"))
-    d = d.withColumn("context", F.regexp_replace(lead, r"\s+", " ")).filter("context <> ''")
+    # The words of each gap that a context can use: its last two.
+    last_two = lambda words: F.reverse(F.slice(F.reverse(words), 1, 2))
+    tails = F.transform("gaps", lambda g: last_two(F.filter(F.split(g, r"\s+", -1), lambda w: w != "")))
+    d = d.select("doc_id", "body", "spans", "found", ends.alias("ends"), tails.alias("tails"))
+    token = lambda i: F.when(i >= 0, F.array(F.get("found", i))).otherwise(F.array().cast("array<string>"))
+    tail = lambda i: F.when(i >= 0, F.get("tails", i)).otherwise(F.array().cast("array<string>"))
+    before = lambda i: last_two(F.concat(F.array(F.lit("^")), token(i - 2), tail(i - 1), token(i - 1), tail(i)))
+    places = F.transform("found", lambda t, i: F.struct(t.alias("token"), F.get("ends", i + 1).alias("end0"), F.array_join(before(i), " ").alias("context")))
+    d = d.select("doc_id", "body", "spans", F.explode(places).alias("place")).select("doc_id", "body", "spans", "place.*")
+    d = d.withColumn("context", F.regexp_replace(F.lower("context"), "[0-9]", "0")).withColumn("start0", F.col("end0") - F.length("token"))
     # The token without the marks around it.
-    trimmed = F.regexp_replace("token", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
     head = F.length("token") - F.length(F.regexp_replace("token", r"^[^\p{L}\p{N}+]+", ""))
-    d = d.withColumn("end0", F.element_at("ends", F.col("i") + 2)).withColumn("value", trimmed).withColumn("start", F.col("end0") - F.length("token") + head)
-    d = d.filter(F.length(digits(F.col("value"))) >= 4).withColumn("end", F.col("start") + F.length("value"))
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return d.select("doc_id", "body", "start", "end", F.lower("value").alias("value"), F.struct(F.col("context"), shape(F.col("value")).alias("shape")).alias("pattern"), inside.alias("seed"))
+    d = d.withColumn("value", F.regexp_replace("token", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")).withColumn("start", F.col("start0") + head)
+    d = d.withColumn("end", F.col("start") + F.length("value"))
+    free = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    unseen = F.when((F.length(digits(F.col("value"))) >= 4) & free, F.array(F.struct("start", "end", "value", F.lit(False).alias("seed"))))
+    # Every rule span starts in one of these tokens; one that another span covers is no instance of its own.
+    covers = lambda o, s: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & ((o["start"] < s["start"]) | (s["end"] < o["end"]) | (o["kind"] < s["kind"]))
+    here = F.filter("spans", lambda s: (F.col("start0") <= s["start"]) & (s["start"] < F.col("end0")))
+    seeds = F.transform(F.filter(here, lambda s: ~F.exists("spans", lambda o: covers(o, s))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("seed")))
+    d = d.withColumn("seeds", seeds)
+    d = d.select("doc_id", "body", "context", F.explode(F.when(F.size("seeds") > 0, F.col("seeds")).otherwise(unseen)).alias("o"))
+    return d.select("doc_id", "body", F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.lower("o.value").alias("value"), "context", F.col("o.seed").alias("seed"))
 
 
 def patterns_of(rows: DataFrame, scratch: Scratch, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
@@ -115,7 +125,7 @@ def patterns_of(rows: DataFrame, scratch: Scratch, rounds: int, min_seeds: int,
     patterns that have ``min_seeds`` distinct supporting instances.
     """
     # A pattern is its context words: shapes differ between the seeds and what is to be found.
-    edges = scratch.write(rows.groupBy(F.col("pattern.context").alias("pattern"), "value").agg(F.max("seed").alias("seed")), "edges")
+    edges = scratch.write(rows.groupBy(F.col("context").alias("pattern"), "value").agg(F.max("seed").alias("seed")), "edges")
     score = F.when(F.col("seed"), 1.0).otherwise(0.0)
     current = edges.withColumn("belief", score)
     patterns = None
@@ -134,7 +144,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     ``kind`` is the place in KINDS. A null text is the empty text and has no spans. Rows that
     repeat an id keep their own spans: found identifiers go back by id and text. A token is
-    discovered if it has four digits or more, no rule covers it, and the two words before it
+    discovered if it has four digits or more, no rule covers it, and the words before it
     are a pattern that ``min_seeds`` distinct instances support with a score of ``min_score``.
     """
     scratch = Scratch(docs.sparkSession, "pii")
@@ -143,7 +153,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     d = d.withColumn("body", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
     rows = scratch.write(occurrences(d), "tokens")
     good = patterns_of(rows, scratch, rounds, min_seeds, min_score)
-    new = rows.filter(~F.col("seed")).withColumn("context", F.col("pattern.context")).join(good.withColumnRenamed("pattern", "context"), "context")
+    new = rows.filter(~F.col("seed")).join(good.withColumnRenamed("pattern", "context"), "context")
     span = F.struct(F.col("start"), F.lit(len(KINDS) - 1).alias("kind"), F.col("end"), F.col("value"))
     new = new.groupBy(F.col("doc_id").alias("doc_id_"), F.col("body").alias("body_")).agg(F.collect_set(span).alias("found"))
     out = d.join(new, (F.col("body") == F.col("body_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left")

@@ -163,6 +163,26 @@ def test_personal_data(spark):
     assert pii.digest(found).filter("doc_id = 0").first()["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_personal_data_seeds_of_every_rule(spark):
+    # Emails with few digits and phones of several words are seeds too; a long word and a number before the value are context.
+    long, phones = "w" * 50, ["+1 (017) 555-7713", "+1 (018) 555-7714", "+1 (019) 555-7715", "+1 (020) 555-7716"]
+    mails = ["ann@a.example.com", "bob@b.example.com", "cy@c.example.com", "di@d.example.com"]
+    cases = {
+        "please write to %s now": (mails, "MB445566"),
+        "or else call on %s now": (phones, "01755577130"),
+        f"his {long}     is %s now": (mails, "MB445577"),
+        "since 2011 or %s now": (mails, "MB445588"),
+        "%s": (mails, "MB445599"),
+        "owner %s": (phones, "01755577131"),
+    }
+    texts = [c % v for c, (seeds, new) in cases.items() for v in [*seeds, new]]
+    wanted = {c % new: new for c, (_, new) in cases.items()}
+    got = pii.find(docs(spark, texts)).collect()
+    found = {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in got}
+    assert len(got) == len(texts)
+    assert found == {t: [wanted[t]] if t in wanted else [] for t in texts}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16))
