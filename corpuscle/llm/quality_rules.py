@@ -1,6 +1,6 @@
 """Quality rules: text statistics in one pass, and cross-document line frequency.
 
-Lines are normalised and hashed; the distinct documents of each (host, line)
+Lines are normalised and hashed; the distinct texts of each (host, line)
 are counted; lines above the limits are removed, and documents that keep too
 little are rejected. DataFrame functions only.
 """
@@ -84,45 +84,62 @@ def base_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 3
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """host, h of the lines above the limits; lines has one row per host, line and distinct text."""
+    """host, h of the lines above the limits; lines has one row per host, line and distinct text, hosts the number of distinct texts."""
     counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
     counts = counts.join(hosts.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")))
-    return counts.filter(F.col("n") > max_share * F.col("host_documents")).select("host", "h")
+    return counts.filter(F.col("n") > max_share * F.col("host_texts")).select("host", "h")
 
 
-def depleted_texts(docs: DataFrame, scratch: Scratch, min_documents: int = 10, max_share: float = 0.02, min_kept: float = 0.2) -> DataFrame:
-    """host, body, line_chars, removed_chars of the texts that the removal of frequent lines depletes."""
+def text_lines(docs: DataFrame) -> DataFrame:
+    """host, body, place, h, chars: one row for each line that is not blank, with its place in the text."""
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[0-9]", "0")
-    line = F.explode(F.split(text, "\n", -1)).alias("line")
-    lines = docs.select("host", "body", line).select("host", "body", F.trim(F.regexp_replace("line", BLANKS, " ")).alias("line")).filter("line <> ''")
-    lines = lines.select("host", "body", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+    lines = docs.select("host", "body", F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", BLANKS, " "))).filter("line <> ''")
+    return lines.select("host", "body", "place", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+
+
+def removals(docs: DataFrame, scratch: Scratch, min_documents: int = 10, max_share: float = 0.02, min_kept: float = 0.2) -> DataFrame:
+    """host, body, gone, places of the texts with frequent lines: whether their removal depletes the text, and the places of these lines."""
     # One row per host, text and line: copies of a text give the same shares, so their characters may add up.
-    lines = scratch.write(lines.groupBy("host", "h", "body").agg(F.sum("chars").alias("chars")), "lines")
-    hosts = docs.groupBy("host").agg(F.count("*").alias("host_documents"))
-    hot = frequent_lines(lines, hosts, min_documents, max_share).withColumn("hit", F.lit(True))
-    hit = lines.join(hot.select(F.col("host").alias("host_"), F.col("h").alias("h_"), "hit"), (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
-    sums = hit.groupBy("host", "body").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(F.col("hit"), F.col("chars")).otherwise(0)).alias("removed_chars"))
-    return sums.filter((F.col("removed_chars") > 0) & (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars")))
+    lines = scratch.write(text_lines(docs).groupBy("host", "h", "body").agg(F.sum("chars").alias("chars")), "lines")
+    hosts = docs.groupBy("host").agg(F.count_distinct("body").alias("host_texts"))
+    hot = scratch.write(frequent_lines(lines, hosts, min_documents, max_share), "hot")
+    side = hot.select(F.col("host").alias("host_"), F.col("h").alias("h_"), F.lit(True).alias("hit"))
+    same = (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_"))
+    sums = lines.join(side, same, "left").groupBy("host", "body").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(F.col("hit"), F.col("chars")).otherwise(0)).alias("removed_chars"))
+    gone = sums.filter("removed_chars > 0").select("host", "body", (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars")).alias("gone"))
+    # Copies have their lines at the same places, so the set is no longer than the text.
+    places = text_lines(docs).join(side, same).groupBy(F.col("host").alias("host_"), F.col("body").alias("body_")).agg(F.collect_set("place").alias("places"))
+    return gone.join(places, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_"))).select("host", "body", "gone", "places")
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.when(places.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = 10, max_share: float = 0.02, min_kept: float = 0.2) -> DataFrame:
-    """doc_id, the base statistics, base_failed, depleted, kept; one row for each input row, other columns left out.
+    """doc_id, the base statistics, base_failed, depleted, kept, cleaned; one row for each input row, other columns left out.
 
     A line is normalised (lower case, digits as 0, runs of blanks as one) and hashed. It is
     above the limits if more than ``min_documents`` distinct texts of its host have it and they
-    are more than ``max_share`` of the host's documents; it is removed then. A document is
-    depleted if less than ``min_kept`` of the characters of its lines stay. Exact copies of a
-    text within a host count as one: a mirrored text does not make its own lines boilerplate.
+    are more than ``max_share`` of the host's distinct texts; it is removed then, and cleaned
+    is the text without such lines. A document is depleted if less than ``min_kept`` of the
+    characters of its lines stay. Exact copies of a text within a host count as one on both
+    sides: a mirrored text neither makes its own lines boilerplate nor hides that of others.
     Null hosts are one host; null and empty texts have no lines, fail the base rules and are
     not depleted. kept: neither failed nor depleted.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = depleted_texts(d, scratch, min_documents, max_share, min_kept).select(F.col("host").alias("host_"), F.col("body").alias("body_"), F.lit(True).alias("gone"))
-    out = base_rules(d).join(gone, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
+    gone = removals(d, scratch, min_documents, max_share, min_kept).select(F.col("host").alias("host_"), F.col("body").alias("body_"), "gone", "places")
+    out = base_rules(d.withColumn("raw", F.col("text"))).join(gone, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
     out = out.withColumn("depleted", F.coalesce("gone", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.coalesce("gone", F.lit(False)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "depleted")
+    out = out.withColumn("cleaned", without_lines(F.col("raw"), F.col("places")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "depleted", "cleaned")
 
 
 #: The same rows in DuckDB: hashes are replaced by the lines and windows themselves.

@@ -19,7 +19,7 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("cleaned")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

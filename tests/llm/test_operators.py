@@ -57,6 +57,16 @@ def test_quality_rules(spark):
     assert all(got[k]["kept"] for k in range(n, n + 30)) and all(got[k]["depleted"] for k in range(n + 30, n + 60))
 
 
+def test_frequent_lines_among_copies(spark):
+    # Copies count once among the texts of a host too; frequent lines are taken out of the text.
+    boiler = "All Rights  Reserved 2011 by the owners of this site and of everything else that can be read on it"
+    texts = ["one text that many pages copy"] * 1600 + [f"head {'abcdefghijklmnop'[k // 2]}\n{boiler}\n\nend" for k in range(30)] + [None, ""]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert [got[k]["depleted"] for k in range(len(texts))] == [False] * 1600 + [True] * 30 + [False] * 2
+    assert [got[k]["cleaned"] for k in range(len(texts))] == [t.replace(f"\n{boiler}\n", "\n").removesuffix("\nend") if t and boiler in t else t for t in texts]
+
+
 def test_secrets(spark):
     net = secrets.production_network()
     fresh = secrets.findings(400, seed=77)
