@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MARGINS = ("source", "lang", "topic")
-REST = "(rest)"
 
 
 def n_words(text: Column) -> Column:
@@ -66,35 +67,79 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float, rounds:
     return np.where(tokens > 0, p, p[tokens > 0].min() if (tokens > 0).any() else 1.0)
 
 
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, scratch: Scratch, rounds: int = 20) -> DataFrame:
+    """The cells with their mass: ``rake`` (and ``tempered`` without targets) as joins, one written table a step."""
+    spark, want = cells.sparkSession, {}
+    for m in MARGINS:
+        if targets:
+            want[m] = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], "name string, want double")
+        else:
+            sums = cells.groupBy(F.col(m).alias("name")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(power))).alias("want"))
+            total = sums.agg(F.sum("want")).first()[0] or 0.0
+            want[m] = scratch.write(sums.withColumn("want", F.col("want") / total) if total else sums.limit(0), f"want-{m}")
+    mass = scratch.write(cells.withColumn("mass", F.col("tokens").cast("double")), "mass")
+    for _ in range(rounds):
+        for m in MARGINS:
+            have = mass.groupBy(F.col(m).alias("name")).agg(F.sum("mass").alias("have")).join(want[m], "name", "left")
+            scale = have.select("name", F.when((F.col("have") > 0) & (F.col("want") > 0), F.col("want") / F.col("have")).otherwise(1.0).alias("scale"))
+            scaled = mass.join(scale, F.col(m) == F.col("name")).select(*MARGINS, "tokens", (F.col("mass") * F.col("scale")).alias("mass"))
+            scaled = scratch.write(scaled, "mass")
+            scratch.drop(mass)
+            mass = scaled
+    return mass
+
+
+def probability_table(mass: DataFrame, budget: float, rounds: int = 30) -> DataFrame:
+    """The cells with ``p`` as of ``probabilities``: the cells at 1 are those above a rate, so each round is one aggregation."""
+    total = mass.agg(F.sum("mass")).first()[0] or 1.0
+    d = mass.withColumn("rate", F.when(F.col("tokens") > 0, F.col("mass") / total / F.col("tokens")).otherwise(0.0))
+    c = most = 0.0
+    for _ in range(rounds):
+        full = F.lit(most) * F.col("rate") >= 1
+        open_, taken = d.agg(F.sum(F.when(~full, F.col("rate") * F.col("tokens"))), F.sum(F.when(full, F.col("tokens")))).first()
+        last, c = c, (budget - (taken or 0)) / open_ if open_ else 0.0
+        most = max(most, c)
+        if c == last:
+            break
+    p = F.when(F.lit(most) * F.col("rate") >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.lit(c) * F.col("rate")))
+    d = d.withColumn("p", p)
+    least = d.filter("tokens > 0").agg(F.min("p")).first()[0]
+    return d.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("p")).otherwise(1.0 if least is None else least).alias("p"))
+
+
 def uniform(id_col: Column, seed: int) -> Column:
     """A number in [0, 1) from the seed and the id."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, budget: float = 0.8, seed: int = 17, max_sources: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, budget: float = 0.8, seed: int = 17, max_cells: int = 20_000) -> DataFrame:
     """The input columns with mix_tokens, mix_probability and mix_sampled; one row for each input row.
 
     Targets are shares by margin; where none are given they are the tempered shares. Null
-    categories are a category of their own, ``(null)``. Only the ``max_sources`` sources of most
-    tokens are raked on their own and the others as one, ``(rest)``: what reaches the driver is
-    bounded by that number times languages times topics, whatever the corpus. Null and empty
-    texts have no tokens and the least probability. Rows that repeat an id are drawn alike.
-    Columns of the input that are named as those added are replaced.
+    categories are a category of their own, ``(null)``. Every source, language and topic has its
+    own target. Up to ``max_cells`` cells are raked on the driver, more of them by joins in
+    Spark, with the same result. Null and empty texts have no tokens and the least probability.
+    Rows that repeat an id are drawn alike. Columns of the input that are named as those added
+    are replaced.
     """
     named = {"_src": F.col(source_col), "_lang": F.col(lang_col), "_topic": topic if topic is not None else form_topic(F.col(text_col))}
     d = docs.withColumns({k: F.coalesce(c.cast("string"), F.lit("(null)")) for k, c in named.items()} | {"mix_tokens": n_words(F.col(text_col))})
-    counts = d.groupBy("_src", "_lang", "_topic").agg(F.sum("mix_tokens").alias("tokens"))
-    large = [r[0] for r in counts.groupBy("_src").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "_src").limit(max_sources).collect()]
-    pooled = counts.withColumn("_src", F.when(F.col("_src").isin(large), F.col("_src")).otherwise(REST)).groupBy("_src", "_lang", "_topic").agg(F.sum("tokens").alias("tokens"))
-    cells = pooled.toPandas().set_axis([*MARGINS, "tokens"], axis=1).sort_values(list(MARGINS)).reset_index(drop=True)
-    share = rake(cells, targets or tempered(cells, power))
-    p = probabilities(cells["tokens"].to_numpy(float), share, budget * float(cells["tokens"].sum()))
-    spark = docs.sparkSession
-    table = [(*map(str, key), float(v)) for key, v in zip(cells[list(MARGINS)].itertuples(index=False), p, strict=True)]
-    lookup = spark.createDataFrame(table, "_s string, _l string, _t string, mix_probability double")
-    source = F.when(F.col("_src").isin(large), F.col("_src")).otherwise(REST)
-    out = d.drop("mix_probability", "mix_sampled").withColumn("_src", source)
-    out = out.join(F.broadcast(lookup), (F.col("_src") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
+    counts = d.groupBy(F.col("_src").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
+    counts = scratch.write(counts, "cells")
+    small = counts.count() <= max_cells
+    if small:
+        cells = counts.toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
+        share = rake(cells, targets or tempered(cells, power))
+        p = probabilities(cells["tokens"].to_numpy(float), share, budget * float(cells["tokens"].sum()))
+        table = [(*map(str, key), float(v)) for key, v in zip(cells[list(MARGINS)].itertuples(index=False), p, strict=True)]
+        lookup = spark.createDataFrame(table, "_s string, _l string, _t string, mix_probability double")
+    else:
+        mass = rake_table(counts, targets, power, scratch)
+        tokens = float(counts.agg(F.sum("tokens")).first()[0])
+        lookup = scratch.write(probability_table(mass, budget * tokens).toDF("_s", "_l", "_t", "mix_probability"), "probability")
+    out = d.drop("mix_probability", "mix_sampled")
+    out = out.join(F.broadcast(lookup) if small else lookup, (F.col("_src") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
     return out.withColumn("mix_sampled", uniform(F.col(id_col), seed) < F.col("mix_probability")).drop("_src", "_lang", "_topic", "_s", "_l", "_t")
 
 

@@ -7,6 +7,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,26 @@ def test_mixing_meets_its_margins(spark):
     assert (got["mix_probability"] * got["mix_tokens"]).sum() == pytest.approx(0.5 * got["mix_tokens"].sum(), rel=1e-6)
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_mixing_of_many_sources(spark, given):
+    # Every source has its own target, on the driver and in Spark: 1,100 sources, the last two of fewest tokens.
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in rng.integers(5, 60, 1098)] + [2, 1, 0]
+    rows = [(k, " ".join(["w"] * n), "en" if k % 3 else "de", f"s{min(k, 1099)}") for k, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = pd.DataFrame([(s, lang, "prose", len(t.split())) for _, t, lang, s in rows], columns=["source", "lang", "topic", "tokens"]).groupby(["source", "lang", "topic"], as_index=False).sum()
+    targets = mixing.tempered(cells, 0.7)
+    if given:
+        targets["source"] = {s: 1.0 + 4 * (s == "s1098") for s in targets["source"]}
+        targets["source"] = {s: w / sum(targets["source"].values()) for s, w in targets["source"].items()}
+    p = mixing.probabilities(cells["tokens"].to_numpy(float), mixing.rake(cells, targets), 0.8 * cells["tokens"].sum())
+    wanted = {(s, lang): x for s, lang, x in zip(cells["source"], cells["lang"], p, strict=True)}
+    for limit in ({}, {"max_cells": 100}):
+        got = mixing.mix(d, targets=targets if given else None, **limit).collect()
+        assert len(got) == len(rows)
+        assert [r["mix_probability"] for r in got] == pytest.approx([wanted[r["source"], r["lang"]] for r in got], rel=1e-9)
+
+
 def test_language(spark):
     words = {"en": "the and of that with this from have".split(), "de": "der die und das mit nicht von ist".split()}
     rng = np.random.default_rng(0)
