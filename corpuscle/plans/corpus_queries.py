@@ -143,9 +143,11 @@ SPANS = r"SELECT doc_id, regexp_extract_all(left(text, 400), '\S+') AS w FROM do
 
 @query(r"SELECT doc_id, pos, greatest(0, e - coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS chars FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(length(array_to_string(list_slice(w, 1, pos + 1), '')) - (pos % 3) * 2 AS BIGINT) AS e FROM (" + SPANS + ") t, unnest(range(len(w))) u(pos))")
 def token_chars(spark, sf_dir):
-    w = docs(spark, sf_dir).select("doc_id", F.regexp_extract_all(F.substring("text", 1, 400), F.lit(r"\S+"), F.lit(0)).alias("w"))
-    ends = w.select("doc_id", F.transform("w", lambda x, k: F.length(F.array_join(F.slice("w", F.lit(1), k + 1), "")) - F.pmod(k, F.lit(3)) * 2).alias("e"))
-    return ends.select("doc_id", F.posexplode(X.token_chars(F.col("e"))).alias("pos", "chars")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("chars").cast("long").alias("chars"))
+    w = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("pos", "w")).select("doc_id", "pos", F.length("w").alias("n"))
+    tokens = Window.partitionBy("doc_id").orderBy("pos")
+    # Running sums and maxima over the whole text.
+    ends = w.withColumn("e", F.sum("n").over(tokens.rowsBetween(Window.unboundedPreceding, 0)) - F.pmod("pos", F.lit(3)) * 2)
+    return ends.select("doc_id", F.col("pos").cast("long").alias("pos"), X.token_chars(F.col("e"), tokens).cast("long").alias("chars"))
 
 
 MARKED = "'  ' || left(replace(text, ' ', '  '), 60) || ' [title] x [a] [b]c '"
