@@ -1,9 +1,12 @@
 """Queries whose SQL sees a part of the input, against brute force over all of it."""
 
+import math
 import re
 
 import pandas as pd
+import pytest
 
+from corpuscle.operators import stats
 from corpuscle.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +27,13 @@ def test_token_chars_of_whole_texts(spark):
             seen = max(seen, end)
     got = catalog.queries()["token_chars"](spark, SF).toPandas()
     assert sorted(got[["doc_id", "pos", "chars"]].itertuples(index=False, name=None)) == sorted(wanted)
+
+
+def test_mcnemar_of_all_labels(spark):
+    labels = table("labels")
+    a = int(((labels["quality"] == 1) & (labels["toxic"] == 1)).sum())
+    b = int(((labels["quality"] == 0) & (labels["toxic"] == 0)).sum())
+    exact = lambda a, b: min(1.0, 2 * (sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)))
+    got = catalog.queries()["mcnemar"](spark, SF).first()
+    assert (got["a_only"], got["b_only"], got["p_value"]) == (a, b, pytest.approx(exact(a, b), abs=1e-9))
+    assert stats.mcnemar(1500, 1600) == pytest.approx(exact(1500, 1600), rel=1e-9)
