@@ -12,6 +12,8 @@ from corpuscle.sources import io
 from .catalog import query
 from .measure_queries import PAIRS, SCORES, both, scores
 
+RESAMPLES = 10_000
+#: Resamples of the SQL.
 B = 60
 DRAW = "('0x' || substr(md5(b || '|' || r), 1, 8))::BIGINT % n"
 LN2 = "ln(CAST(2 AS DOUBLE))"
@@ -19,23 +21,16 @@ ROWS = PAIRS + ", q AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS r, count
 BY_DOMAIN = PAIRS + ", q AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY domain) AS n FROM p)"
 
 
-def ranked(spark, sf_dir, *by):
-    w = Window.partitionBy(*by).orderBy("i")
-    p = both(spark, sf_dir).join(scores(spark, sf_dir).filter("run = 'a'").select("i", "domain"), "i")
-    return p.withColumn("r", (F.row_number().over(w) - 1).cast("long"))
-
-
 def by_domain(spark, sf_dir):
-    sums = H.resampled(ranked(spark, sf_dir, "domain").select("domain", "r", "chars", "nats_a", "nats_b"), ["domain"], B, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
-    return sums
+    p = both(spark, sf_dir).select("i", "chars", "nats_a", "nats_b").join(scores(spark, sf_dir).filter("run = 'a'").select("i", "domain"), "i")
+    return H.resampled(p, ["domain"], RESAMPLES, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
 
 
 @query(f"""WITH {ROWS}, d AS (SELECT b, r, {DRAW} AS j FROM (SELECT r, n FROM q), range({B}) t(b)),
 x AS (SELECT b, (sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)) AS diff FROM d JOIN q ON d.j = q.r GROUP BY b)
 SELECT round(quantile_cont(diff, 0.025), 6) AS lo, round(quantile_cont(diff, 0.5), 6) AS median, round(quantile_cont(diff, 0.975), 6) AS hi FROM x""")
 def paired_bootstrap(spark, sf_dir):
-    pairs = ranked(spark, sf_dir).select("r", "chars", "nats_a", "nats_b")
-    x = H.resampled(pairs, [], B, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
+    x = H.resampled(both(spark, sf_dir).select("i", "chars", "nats_a", "nats_b"), [], RESAMPLES, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
     return x.select(((F.col("a") - F.col("b_")) / (F.ln(F.lit(2.0)) * F.col("c"))).alias("diff")).agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p")).select(*[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("lo", "median", "hi"))])
 
 

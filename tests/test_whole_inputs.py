@@ -3,11 +3,12 @@
 import math
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from corpuscle.operators import stats
-from corpuscle.plans import catalog
+from corpuscle.plans import catalog, measure_queries, stats_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,21 @@ def test_mcnemar_of_all_labels(spark):
     got = catalog.queries()["mcnemar"](spark, SF).first()
     assert (got["a_only"], got["b_only"], got["p_value"]) == (a, b, pytest.approx(exact(a, b), abs=1e-9))
     assert stats.mcnemar(1500, 1600) == pytest.approx(exact(1500, 1600), rel=1e-9)
+
+
+def test_bootstraps_of_10000_resamples(spark):
+    p = measure_queries.both(spark, SF).select("i", "chars", "nats_a", "nats_b").toPandas()
+    domains = table("documents").groupby("lang").size().to_dict()
+    got = stats_queries.by_domain(spark, SF).toPandas()
+    assert got.groupby("domain").size().to_dict() == dict.fromkeys(domains, 10_000)
+    assert got.groupby("domain")["b"].nunique().eq(10_000).all()
+    # Every resample takes as many rows as there are, also from several buckets.
+    ones = stats.resampled(spark.createDataFrame(p.assign(one=1.0)), [], 10_000, {"one": "n"}, bucket_rows=30).toPandas()
+    assert len(ones) == 10_000 and ones["n"].eq(len(p)).all()
+    brute = stats.paired_bootstrap(*(p[c].to_numpy(float) for c in ("nats_a", "nats_b", "chars")), 10_000)
+    width = brute["hi"] - brute["lo"]
+    several = stats.resampled(spark.createDataFrame(p), [], 10_000, {"nats_a": "a", "nats_b": "b_", "chars": "c"}, bucket_rows=30).toPandas()
+    lo, mid, hi = np.percentile((several["a"] - several["b_"]) / several["c"] / math.log(2), [2.5, 50, 97.5])
+    whole = catalog.queries()["paired_bootstrap"](spark, SF).first()
+    for x in ((lo, mid, hi), (whole["lo"], whole["median"], whole["hi"])):
+        assert x == pytest.approx((brute["lo"], brute["median"], brute["hi"]), abs=0.04 * width)
