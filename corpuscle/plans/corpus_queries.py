@@ -155,7 +155,7 @@ MARKED = "'  ' || left(replace(text, ' ', '  '), 60) || ' [title] x [a] [b]c '"
 
 @query(f"SELECT doc_id, trim(replace(regexp_replace(replace(trim({MARKED}, ' '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '), ' ') AS text FROM documents")
 def clean_markers(spark, sf_dir):
-    t = F.concat(F.lit("  "), F.substring(F.replace("text", F.lit(" "), F.lit("  ")), 1, 60), F.lit(" [title] x [a] [b]c "))
+    t = F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" [title] x [a] [b]c "))
     return docs(spark, sf_dir).select("doc_id", X.clean_markers(t).alias("text"))
 
 

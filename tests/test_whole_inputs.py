@@ -56,3 +56,13 @@ def test_bootstraps_of_10000_resamples(spark):
     whole = catalog.queries()["paired_bootstrap"](spark, SF).first()
     for x in ((lo, mid, hi), (whole["lo"], whole["median"], whole["hi"])):
         assert x == pytest.approx((brute["lo"], brute["median"], brute["hi"]), abs=0.04 * width)
+
+
+def test_clean_markers_of_whole_texts(spark):
+    def clean(t):
+        t = ("  " + t.replace(" ", "  ") + " [title] x [a] [b]c ").strip(" ").replace(" [title]", ". ")
+        return re.sub(r"\[.*?\]", "", t).replace("  ", " ").strip(" ")
+
+    got = dict(catalog.queries()["clean_markers"](spark, SF).select("doc_id", "text").collect())
+    wanted = {k: None if t is None else clean(t) for k, t in table("documents")[["doc_id", "text"]].itertuples(index=False)}
+    assert got == wanted
