@@ -92,12 +92,18 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.99, c
     noise -= (noise * x).sum(1)[:, None] * x
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
     y = threshold * x + np.sqrt(1 - threshold**2) * noise
-    most = min(len(grid.left) * len(grid.right), 512)
-    a, b = grid.cells(x, most), grid.cells(y, most)
-    rank = lambda asks, home: np.where((hit := asks == home[:, None]).any(1), hit.argmax(1), most)
-    need = np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0]))
-    grid.visits = int(min(np.quantile(need, recall, method="higher") + 1, len(grid.left) * len(grid.right)))
-    return grid
+    every = len(grid.left) * len(grid.right)
+    rank = lambda asks, home: np.where((hit := asks == home[:, None]).any(1), hit.argmax(1), len(asks[0]))
+    most = min(every, 512)
+    while True:
+        a, b = grid.cells(x, most), grid.cells(y, most)
+        reached = np.quantile(np.minimum(rank(a, b[:, 0]), rank(b, a[:, 0])), recall, method="higher")
+        if reached < most:
+            grid.visits = int(reached) + 1
+            return grid
+        if most == every:
+            raise RuntimeError(f"recall {recall} is not reached in all {every} cells")
+        most = min(2 * most, every)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

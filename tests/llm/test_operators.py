@@ -229,3 +229,10 @@ def test_vectors(spark):
         root = np.array([min(root[i], *root[links[i]]) if links[i].any() else root[i] for i in range(300)])
     assert [got[k]["component_id"] for k in range(300)] == root.tolist()
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(1000, 1005))
+
+
+def test_visits_are_as_many_as_the_recall_needs():
+    # Neighbours at similarity 0.05 are almost anywhere: the 512 cells that are looked at first are too few.
+    x = multiindex.unit(np.random.default_rng(6).normal(size=(2000, 16)))
+    grid = multiindex.fit(x, 300_000, 0.05, recall=0.995)
+    assert 513 < grid.visits <= len(grid.left) * len(grid.right)
