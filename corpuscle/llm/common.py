@@ -19,6 +19,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Fewer rows in a batch for all that the session runs from now on: the option is read when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -60,6 +61,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def text_hash(text: Column) -> Column:
+    """A 64-bit hash of a text; a null text is the empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fixed folds of the labelled operators."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -95,7 +106,7 @@ def map_texts(df: DataFrame, work, fields: list[T.StructField], keep: tuple[str,
 
 
 def gram_ids(data: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Bucket of each run of n bytes; ``data`` is uint8."""
+    """Bucket of each run of n bytes (uint8) or code points (uint32)."""
     size = len(data) - n + 1
     if size <= 0:
         return np.zeros(0, np.int64)
@@ -138,12 +149,23 @@ def platt(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
     return max(a, 1e-3), b
 
 
+def bounded_sample(docs: DataFrame, rows: int, max_chars: int, labels: DataFrame | None = None) -> DataFrame:
+    """At most ``rows`` rows of ``docs`` (doc_id, text and more), one for each id: the ids of the lowest hashes among texts up to ``max_chars``.
+
+    A repeated id gives its text of the least hash. ``labels`` (doc_id, label), one row an id, restricts the ids and adds
+    the label. Only the chosen ids are broadcast: ``rows`` of them at most.
+    """
+    d = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= max_chars)).withColumn("_hash", text_hash(F.col("text")))
+    ids = d.select("doc_id", "_hash") if labels is None else d.select("doc_id", "_hash").join(labels, "doc_id")
+    ids = ids.groupBy("doc_id").agg(F.min("_hash").alias("_hash"), *([] if labels is None else [F.max("label").alias("label")]))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return d.join(F.broadcast(ids), ["doc_id", "_hash"]).dropDuplicates(["doc_id"]).drop("_hash")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> DataFrame:
-    """A bounded sample of labelled texts: the ``rows`` lowest id hashes among texts up to ``max_chars``.
+    """A bounded sample of labelled texts: doc_id, text, label.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and the label; a repeated label row counts as its maximum.
-    Only the sampled ids are broadcast: at most ``rows`` of them.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    ids = docs.filter(F.length("text") <= max_chars).select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).dropDuplicates(["doc_id"])
-    return docs.filter(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    return bounded_sample(docs, rows, max_chars, known).select("doc_id", "text", "label")
