@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
 Long texts are cut before they reach the tokenizer, only at places where the
-split pattern always starts a new match: before white space that follows other
-text, between letters and digits, and before the last blank of a blank run.
-Each piece then gives the same matches alone as in its text.
+split pattern always starts a new match. Such places belong to a pattern: texts
+for a pattern whose places are not listed here are encoded whole. For the listed
+one they are before white space that follows other text, between letters and
+digits, and before the last blank of a blank run; each piece then gives the same
+matches alone as in its text.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from .common import doc_view, map_texts, small_batches
 
 #: Longest piece in code points that is looked for before the tokenizer runs.
 PIECE = 1 << 16
-#: Places at which no match of the split pattern can reach across.
-SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[\p{N}])|(?<=\p{N})(?=\p{L})|(?<=\s)(?=\s\S)")
+#: A split pattern, and the places at which none of its matches can reach across.
+SAFE = {
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[\p{N}])|(?<=\p{N})(?=\p{L})|(?<=\s)(?=\s\S)"),
+}
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -37,14 +41,14 @@ def load(path: str, pattern: str):
     return _loaded[path, pattern]
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
+def pieces(text: str, pattern: str, size: int = PIECE) -> list[str]:
     """The text cut at safe places into pieces of at least ``size`` code points, but for the last.
 
     A run that has no safe place (one endless word) stays whole.
     """
-    out, start = [], 0
-    while len(text) - start > size:
-        m = SAFE.search(text, start + size)
+    out, start, safe = [], 0, SAFE.get(pattern)
+    while safe and len(text) - start > size:
+        m = safe.search(text, start + size)
         if not m or m.start() >= len(text):
             break
         out.append(text[start : m.start()])
@@ -53,23 +57,23 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
-def encode_text(tokenizer, text: str | None, size: int = PIECE) -> list[int]:
+def encode_text(tokenizer, text: str | None, pattern: str, size: int = PIECE) -> list[int]:
     text = text or ""
     if len(text) <= size:
         return tokenizer.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in tokenizer.encode_ordinary(piece)]
+    return [i for piece in pieces(text, pattern, size) for i in tokenizer.encode_ordinary(piece)]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: one row for each input row, repeated rows included.
 
-    A null text counts as the empty text and has no ids. Other columns are not
-    carried. Every executor needs the rank file at ``rank_path``.
+    A null text counts as the empty text and has no ids; null ids stay null. Other columns are not
+    carried, whatever their names. Every executor needs the rank file at ``rank_path``.
     """
 
     def work(texts):
         tokenizer = load(rank_path, pattern)
-        return {"ids": [encode_text(tokenizer, t) for t in texts]}
+        return {"ids": [encode_text(tokenizer, t, pattern) for t in texts]}
 
     return map_texts(doc_view(docs, id_col, text_col), work, [T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -79,7 +83,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
 
     def work(texts):
         tokenizer = load(rank_path, pattern)
-        ids = [encode_text(tokenizer, t) for t in texts]
+        ids = [encode_text(tokenizer, t, pattern) for t in texts]
         return {"ids": ids, "decoded": [tokenizer.decode_bytes(i) for i in ids]}
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
@@ -108,5 +112,3 @@ def digests(decoded: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
