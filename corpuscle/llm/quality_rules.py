@@ -1,6 +1,6 @@
 """Quality rules: text statistics in one pass, and cross-document line frequency.
 
-Lines are normalised and hashed; the distinct texts of each (host, line)
+Lines are normalised and hashed; the distinct documents of each (host, line)
 are counted; lines above the limits are removed, and documents that keep too
 little are rejected. DataFrame functions only.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_hash
 
 #: A word, as the contract has it: no blank and none of tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,32 +84,32 @@ def base_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 3
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """host, h of the lines above the limits; lines has one row per host, line and distinct text, hosts the number of distinct texts."""
+    """host, h of the lines above the limits; lines has one row per host, line and document, hosts the number of documents."""
     counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
     counts = counts.join(hosts.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")))
-    return counts.filter(F.col("n") > max_share * F.col("host_texts")).select("host", "h")
+    return counts.filter(F.col("n") > max_share * F.col("documents")).select("host", "h")
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """host, body, place, h, chars: one row for each line that is not blank, with its place in the text."""
+def text_lines(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys, place, h, chars: one row for each line that is not blank, with its place in the text."""
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[0-9]", "0")
-    lines = docs.select("host", "body", F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    lines = docs.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", BLANKS, " "))).filter("line <> ''")
-    return lines.select("host", "body", "place", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+    return lines.select(*keys, "place", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
 
 
 def removals(docs: DataFrame, scratch: Scratch, min_documents: int = 10, max_share: float = 0.02, min_kept: float = 0.2) -> DataFrame:
     """host, body, gone, places of the texts with frequent lines: whether their removal depletes the text, and the places of these lines."""
-    # One row per host, text and line: copies of a text give the same shares, so their characters may add up.
-    lines = scratch.write(text_lines(docs).groupBy("host", "h", "body").agg(F.sum("chars").alias("chars")), "lines")
-    hosts = docs.groupBy("host").agg(F.count_distinct("body").alias("host_texts"))
+    # One row per host, document (id and text) and line. Repeated rows add their characters to all lines of a text alike, which keeps the shares.
+    lines = scratch.write(text_lines(docs, "host", "doc_id", "body").groupBy("host", "h", "doc_id", "body").agg(F.sum("chars").alias("chars")), "lines")
+    hosts = docs.select("host", "doc_id", "body").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     hot = scratch.write(frequent_lines(lines, hosts, min_documents, max_share), "hot")
     side = hot.select(F.col("host").alias("host_"), F.col("h").alias("h_"), F.lit(True).alias("hit"))
     same = (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_"))
     sums = lines.join(side, same, "left").groupBy("host", "body").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(F.col("hit"), F.col("chars")).otherwise(0)).alias("removed_chars"))
     gone = sums.filter("removed_chars > 0").select("host", "body", (F.col("line_chars") - F.col("removed_chars") < min_kept * F.col("line_chars")).alias("gone"))
     # Copies have their lines at the same places, so the set is no longer than the text.
-    places = text_lines(docs).join(side, same).groupBy(F.col("host").alias("host_"), F.col("body").alias("body_")).agg(F.collect_set("place").alias("places"))
+    places = text_lines(docs, "host", "body").join(side, same).groupBy(F.col("host").alias("host_"), F.col("body").alias("body_")).agg(F.collect_set("place").alias("places"))
     return gone.join(places, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_"))).select("host", "body", "gone", "places")
 
 
@@ -124,17 +124,17 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, the base statistics, base_failed, depleted, kept, cleaned; one row for each input row, other columns left out.
 
     A line is normalised (lower case, digits as 0, runs of blanks as one) and hashed. It is
-    above the limits if more than ``min_documents`` distinct texts of its host have it and they
-    are more than ``max_share`` of the host's distinct texts; it is removed then, and cleaned
+    above the limits if more than ``min_documents`` distinct documents of its host have it and they
+    are more than ``max_share`` of the host's documents; it is removed then, and cleaned
     is the text without such lines. A document is depleted if less than ``min_kept`` of the
-    characters of its lines stay. Exact copies of a text within a host count as one on both
-    sides: a mirrored text neither makes its own lines boilerplate nor hides that of others.
-    Null hosts are one host; null and empty texts have no lines, fail the base rules and are
-    not depleted. kept: neither failed nor depleted.
+    characters of its lines stay. A document is an id with a text: rows that repeat both count
+    once, copies under ids of their own each count. Null hosts are one host, null ids one id;
+    null and empty texts have no lines, fail the base rules and are not depleted, but count among
+    the host's documents. kept: neither failed nor depleted. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    d = d.withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = d.withColumn("body", text_hash(F.col("text")))
     gone = removals(d, scratch, min_documents, max_share, min_kept).select(F.col("host").alias("host_"), F.col("body").alias("body_"), "gone", "places")
     out = base_rules(d.withColumn("raw", F.col("text"))).join(gone, (F.col("body") == F.col("body_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
     out = out.withColumn("depleted", F.coalesce("gone", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.coalesce("gone", F.lit(False)))
@@ -149,10 +149,10 @@ w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x
 win AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS host_documents FROM d GROUP BY host),
-bodies AS (SELECT DISTINCT host, t FROM d),
-lines AS (SELECT host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS line FROM bodies)),
-per AS (SELECT host, t, line, sum(length(line)) AS chars FROM lines WHERE line <> '' GROUP BY ALL),
+bodies AS (SELECT DISTINCT host, doc_id, t FROM d),
+hosts AS (SELECT host, count(*) AS host_documents FROM bodies GROUP BY host),
+lines AS (SELECT host, doc_id, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT host, doc_id, t, unnest(string_split(t, chr(10))) AS line FROM bodies)),
+per AS (SELECT host, doc_id, t, line, sum(length(line)) AS chars FROM lines WHERE line <> '' GROUP BY ALL),
 hot AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM per GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.02 * host_documents),
 gone AS (SELECT host, t FROM (SELECT per.host, per.t, sum(chars) AS all_chars, sum(CASE WHEN hot.line IS NULL THEN 0 ELSE chars END) AS removed FROM per LEFT JOIN hot ON per.host = hot.host AND per.line = hot.line GROUP BY ALL) WHERE removed > 0 AND all_chars - removed < 0.2 * all_chars),
 o AS (SELECT w.doc_id, w.host, w.t, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id))
