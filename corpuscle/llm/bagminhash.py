@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, doc_view, map_texts, small_batches
+from .common import Scratch, doc_view, map_texts, small_batches, text_hash
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -132,7 +132,7 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (digest of the words), size (shingles), bands. Texts without words have no bands."""
+    """doc_id, body, key (digest of the words), size (shingles), bands of the rows doc_id, body, text. Texts without words have no bands."""
 
     def work(texts):
         place, index, bags, keys = {}, [], [], []
@@ -157,7 +157,7 @@ def sign(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         return {"key": keys, "size": [sizes[i] for i in index], "bands": [b[i].tolist() if sizes[i] else [] for i in index]}
 
     fields = [T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return map_texts(docs, work, fields)
+    return map_texts(docs, work, fields, keep=("doc_id", "body"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -238,19 +238,23 @@ def compare_blocks(state: DataFrame, texts: DataFrame, threshold: float, block:
     queries, compared with all members. A bucket is cut into blocks of about ``block`` queries and
     ``block`` members; a task holds one pair of blocks at a time. Buckets with the same members count once.
     """
-    by_comp = state.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"))
-    buckets = by_comp.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps"), F.sum("h").alias("h"))
-    buckets = buckets.filter("comps > 1").groupBy("n", "h").agg(F.min_by(F.struct("band", "most", "largest"), "band").alias("b"))
+    by_comp = state.groupBy("band", "comp").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64("key", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
+    buckets = by_comp.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    # The same number of members and the same two sums of 64-bit hashes: the same members.
+    buckets = buckets.filter("comps > 1").groupBy("n", "h1", "h2").agg(F.min_by(F.struct("band", "most", "largest"), "band").alias("b"))
     buckets = buckets.select("b.band", "b.largest", F.ceil(F.col("n") / block).alias("parts"), F.ceil((F.col("n") - F.col("b.most")) / block).alias("asks"))
     rows = state.join(buckets, "band").withColumn("query", F.col("comp") != F.col("largest"))
     part, ask = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("asks"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda p, a: F.struct(p.cast("long").alias("part"), a.cast("long").alias("ask"))
     member = F.transform(upto("asks"), lambda a: F.struct(cell(part, a).alias("cell"), F.lit(False).alias("query")))
     asker = F.when(F.col("query"), F.transform(upto("parts"), lambda p: F.struct(cell(p, ask).alias("cell"), F.lit(True).alias("query")))).otherwise(F.array().cast("array<struct<cell:struct<part:bigint,ask:bigint>,query:boolean>>"))
-    rows = rows.select("band", "key", "comp", F.explode(F.concat(member, asker)).alias("r")).select("band", "key", "comp", "r.cell.part", "r.cell.ask", "r.query")
-    rows = rows.join(texts, "key").select("band", "part", "ask", "key", "comp", "query", "text")
-    rows = rows.repartition("band", "part", "ask").sortWithinPartitions("band", "part", "ask")
+    # The cells of a bucket go round the tasks, from a place of the bucket's own.
+    task = F.pmod(F.pmod(F.xxhash64("band"), F.lit(tasks)) + F.col("r.cell.part") * F.col("asks") + F.col("r.cell.ask"), F.lit(tasks)).cast("int")
+    rows = rows.select("band", "key", "comp", "asks", F.explode(F.concat(member, asker)).alias("r")).select("band", "key", "comp", "r.cell.part", "r.cell.ask", "r.query", task.alias("task"))
+    rows = rows.join(texts, "key").repartitionById(tasks, F.col("task")).select("band", "part", "ask", "key", "comp", "query", "text")
+    rows = rows.sortWithinPartitions("band", "part", "ask")
 
     def run(batches):
         now, held = None, []
@@ -284,46 +288,50 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch, threshol
     slots = scratch.write(slots.join(shared, "band"), "slots")
     if slots.isEmpty():
         return None
-    members = scratch.write(slots.select("key").distinct().join(classes.select("key", "doc_id"), "key"), "members")
-    # 24 bytes a row: broadcast up to a checked count, else an ordinary join.
+    # One row of each class gives its text; the text's hash finds it, so that rows without an id or with a common one do no harm.
+    members = scratch.write(slots.select("key").distinct().join(classes.select("key", F.col("rep.doc_id").alias("id_"), F.col("rep.body").alias("body_")), "key"), "members")
+    # 32 bytes a row: broadcast up to a checked count, else an ordinary join.
     side = F.broadcast(members) if members.count() <= broadcast_rows else members
-    texts = scratch.write(true_texts(docs.join(side, docs["doc_id"].eqNullSafe(side["doc_id"])).select("key", "text")), "texts")
+    texts = scratch.write(true_texts(docs.join(side, (F.col("body") == F.col("body_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("key", "text")), "texts")
     pivots = slots.groupBy("band").agg(F.min_by(F.struct("key", "size"), "key").alias("p"))
     fit = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size")
     pairs = slots.join(pivots, "band").filter((F.col("key") != F.col("p.key")) & fit).select(F.col("p.key").alias("u"), F.col("key").alias("v")).distinct()
     links = scratch.write(verify(pairs, texts, threshold), "found")
     roots = components(links, scratch)
-    state = slots.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("comp"))
-    more = scratch.write(compare_blocks(scratch.write(state, "state"), texts, threshold).distinct(), "more")
+    state = scratch.write(slots.join(roots.withColumnRenamed("id", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("comp")), "state")
+    more = scratch.write(compare_blocks(state, texts, threshold).distinct(), "more")
+    scratch.drop(slots, members, texts, state)
     if not more.isEmpty():
         roots = components(links.unionByName(more), scratch)
     return None if roots.isEmpty() else roots.withColumnRenamed("id", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, component_id, kept: one row for each input row.
+    """doc_id, class_id, component_id, kept, text_hash: one row for each input row.
 
     class_id is the least id among texts with the same words (case and white space aside);
     component_id is the least id reachable by links of weighted Jaccard similarity of at least
-    ``threshold`` between five-word shingle multisets; kept: doc_id = component_id, so one
-    document of each group stays. Texts of fewer than five words are one shingle. Null and
-    empty texts link with nothing and are kept, each a class of its own. Rows that repeat an id
-    and a text share its fate.
+    ``threshold`` between five-word shingle multisets; kept holds for one document of each group, the one of the
+    least id (null is above every id) and, where that id has several texts in the group, of one of these. Texts of
+    fewer than five words are one shingle. Null and empty texts link with nothing and are kept, each a class of its own.
+    text_hash is the text's 64-bit hash. Rows that repeat an id and a text share its fate. An empty table gives an empty
+    one; columns but the id and the text are left out, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "bagminhash")
-    d = doc_view(docs, id_col, text_col)
+    d = doc_view(docs, id_col, text_col).withColumn("body", text_hash(F.col("text")))
     signed = scratch.write(sign(d), "signed")
     full = signed.filter("size > 0")
-    classes = scratch.write(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    rows = signed.select("doc_id", F.when(F.col("size") > 0, F.col("key")).alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("rep")
+    classes = scratch.write(full.groupBy("key").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    rows = signed.select("doc_id", "body", F.when(F.col("size") > 0, F.col("key")).alias("key"))
     roots = link_classes(d, classes, scratch, threshold)
-    if roots is None:
-        groups = classes.select("key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    else:
-        placed = scratch.write(classes.select("key", "doc_id").join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root")), "placed")
-        least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        groups = placed.join(least, "root").select("key", F.col("doc_id").alias("class_id"), "component_id")
+    placed = classes.select("key", "rep", F.col("key").alias("root")) if roots is None else classes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    placed = scratch.write(placed, "placed")
+    least = placed.groupBy("root").agg(F.min(F.struct("rep.no_id", "rep.doc_id", "key")).alias("least"))
     # Written first: a join of two plain tables lets Spark split the rows of one very common text.
-    groups = scratch.write(groups, "groups")
-    out = rows.join(groups, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = scratch.write(placed.join(least, "root").select("key", F.col("rep.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), (F.col("least.key") == F.col("key")).alias("chosen")), "groups")
+    scratch.drop(classes, placed)
+    out = rows.join(groups, "key", "left")
+    alone = F.col("key").isNull()
+    kept = alone | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), F.col("body").alias("text_hash"))

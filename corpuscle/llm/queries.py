@@ -27,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
