@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MARGINS = ("source", "lang", "topic")
+#: The name of the missing category, most rounds of raking, and the relative change of a cell in a round that ends them.
+MISSING, ROUNDS, CLOSE = "-", 50, 1e-12
 
 
 def n_words(text: Column) -> Column:
@@ -28,20 +30,34 @@ def form_topic(text: Column) -> Column:
     return F.when(F.instr(t, " | ") > 0, "table").when(t.rlike("[#$%&*]{3}"), "marked").when(t.rlike("[0-9]{4}"), "numbers").otherwise("prose")
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = 20) -> np.ndarray:
+def category(value: Column) -> Column:
+    """A category's name in the cells: a real value is marked, so that none is taken for the missing one."""
+    return F.when(value.isNull(), MISSING).otherwise(F.concat(F.lit("="), value.cast("string")))
+
+
+def named(targets: dict[str, dict[str | None, float]]) -> dict[str, dict[str, float]]:
+    """Targets by the categories' names; the missing category is None."""
+    return {m: {MISSING if k is None else f"={k}": float(v) for k, v in shares.items()} for m, shares in targets.items()}
+
+
+def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the cells (columns source, lang, topic, tokens) whose weighted tokens meet the target shares.
 
-    Each round scales every margin in turn. A category without a target share or without tokens
-    keeps its scale. The weighted tokens add up to 1.
+    Each round scales every margin in turn; the rounds end when one changes no cell by more than ``CLOSE``, which is so
+    at the fit, or, where the targets contradict each other or the empty cells, in the circle that is left; after
+    ``rounds`` at the latest. A category without a target share or without tokens keeps its scale. The weighted tokens
+    add up to 1.
     """
-    mass = cells["tokens"].to_numpy(float)
+    mass, coded = cells["tokens"].to_numpy(float), [(m, *pd.factorize(cells[m])) for m in MARGINS]
     for _ in range(rounds):
-        for m in MARGINS:
-            code, names = pd.factorize(cells[m])
+        last = mass
+        for m, code, names in coded:
             have = np.bincount(code, mass, len(names))
             want = np.array([targets[m].get(x, 0.0) for x in names])
             scale = np.where((have > 0) & (want > 0), want / np.where(have > 0, have, 1), 1.0)
             mass = mass * scale[code]
+        if (np.abs(mass - last) <= CLOSE * last).all():
+            break
     return mass / mass.sum() if mass.sum() else mass
 
 
@@ -67,7 +83,7 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float, rounds:
     return np.where(tokens > 0, p, p[tokens > 0].min() if (tokens > 0).any() else 1.0)
 
 
-def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, scratch: Scratch, rounds: int = 20) -> DataFrame:
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """The cells with their mass: ``rake`` (and ``tempered`` without targets) as joins, one written table a step."""
     spark, want = cells.sparkSession, {}
     for m in MARGINS:
@@ -79,13 +95,18 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, po
             want[m] = scratch.write(sums.withColumn("want", F.col("want") / total) if total else sums.limit(0), f"want-{m}")
     mass = scratch.write(cells.withColumn("mass", F.col("tokens").cast("double")), "mass")
     for _ in range(rounds):
-        for m in MARGINS:
+        start = mass
+        for k, m in enumerate(MARGINS):
             have = mass.groupBy(F.col(m).alias("name")).agg(F.sum("mass").alias("have")).join(want[m], "name", "left")
             scale = have.select("name", F.when((F.col("have") > 0) & (F.col("want") > 0), F.col("want") / F.col("have")).otherwise(1.0).alias("scale"))
-            scaled = mass.join(scale, F.col(m) == F.col("name")).select(*MARGINS, "tokens", (F.col("mass") * F.col("scale")).alias("mass"))
-            scaled = scratch.write(scaled, "mass")
-            scratch.drop(mass)
+            last = F.col("mass") if k == 0 else F.col("last")
+            scaled = scratch.write(mass.join(scale, F.col(m) == F.col("name")).select(*MARGINS, "tokens", (F.col("mass") * F.col("scale")).alias("mass"), last.alias("last")), "mass")
+            if mass is not start:
+                scratch.drop(mass)
             mass = scaled
+        scratch.drop(start)
+        if mass.filter(F.abs(F.col("mass") - F.col("last")) > CLOSE * F.col("last")).isEmpty():
+            break
     return mass
 
 
@@ -115,39 +136,40 @@ def uniform(id_col: Column, seed: int) -> Column:
 def mix(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, budget: float = 0.8, seed: int = 17, max_cells: int = 20_000) -> DataFrame:
     """The input columns with mix_tokens, mix_probability and mix_sampled; one row for each input row.
 
-    Targets are shares by margin; where none are given they are the tempered shares. Null
-    categories are a category of their own, ``(null)``. Every source, language and topic has its
-    own target. Up to ``max_cells`` cells are raked on the driver, more of them by joins in
-    Spark, with the same result. Null and empty texts have no tokens and the least probability.
-    Rows that repeat an id are drawn alike. Columns of the input that are named as those added
-    are replaced.
+    Targets are shares by margin, with None for the missing category; where none are given they are the tempered
+    shares. Every source, language and topic has its own target. Tokens are words. Up to ``max_cells`` cells are raked on
+    the driver, more of them by joins in Spark, with the same result. Null and empty texts have no tokens and the least
+    probability. Rows that repeat an id are drawn alike; null ids are one id. Columns of the input that are named as
+    those added are replaced, all others stay, whatever their names. An empty table gives an empty one.
     """
-    named = {"_src": F.col(source_col), "_lang": F.col(lang_col), "_topic": topic if topic is not None else form_topic(F.col(text_col))}
-    d = docs.withColumns({k: F.coalesce(c.cast("string"), F.lit("(null)")) for k, c in named.items()} | {"mix_tokens": n_words(F.col(text_col))})
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    counts = d.groupBy(F.col("_src").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    counts = scratch.write(counts, "cells")
+    added = ("mix_tokens", "mix_probability", "mix_sampled")
+    keep = [c for c in docs.columns if c not in added]
+    topic = topic if topic is not None else form_topic(F.col(text_col))
+    # The input's columns travel in one struct, where no helper's name can meet theirs.
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[category(c).alias(m) for m, c in zip(MARGINS, (F.col(source_col), F.col(lang_col), topic), strict=True)], n_words(F.col(text_col)).alias("tokens"))
+    counts = scratch.write(d.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    targets = named(targets) if targets else None
     small = counts.count() <= max_cells
     if small:
         cells = counts.toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
         share = rake(cells, targets or tempered(cells, power))
         p = probabilities(cells["tokens"].to_numpy(float), share, budget * float(cells["tokens"].sum()))
         table = [(*map(str, key), float(v)) for key, v in zip(cells[list(MARGINS)].itertuples(index=False), p, strict=True)]
-        lookup = spark.createDataFrame(table, "_s string, _l string, _t string, mix_probability double")
+        lookup = spark.createDataFrame(table, "s string, l string, t string, p double")
     else:
         mass = rake_table(counts, targets, power, scratch)
-        tokens = float(counts.agg(F.sum("tokens")).first()[0])
-        lookup = scratch.write(probability_table(mass, budget * tokens).toDF("_s", "_l", "_t", "mix_probability"), "probability")
-    out = d.drop("mix_probability", "mix_sampled")
-    out = out.join(F.broadcast(lookup) if small else lookup, (F.col("_src") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
-    return out.withColumn("mix_sampled", uniform(F.col(id_col), seed) < F.col("mix_probability")).drop("_src", "_lang", "_topic", "_s", "_l", "_t")
+        total = float(counts.agg(F.sum("tokens")).first()[0])
+        lookup = scratch.write(probability_table(mass, budget * total).toDF("s", "l", "t", "p"), "probability")
+    out = d.join(F.broadcast(lookup) if small else lookup, (F.col("source") == F.col("s")) & (F.col("lang") == F.col("l")) & (F.col("topic") == F.col("t")))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("tokens").alias("mix_tokens"), F.col("p").alias("mix_probability"), (uniform(F.col("row")[id_col], seed) < F.col("p")).alias("mix_sampled"))
 
 
 def oracle_sql(power: float = 0.7, budget: float = 0.8, seed: int = 17, rounds: int = 20, fills: int = 30) -> str:
-    """The same rows in DuckDB SQL, each round a common table expression."""
+    """The same rows in DuckDB SQL, each round a common table expression; ``rounds`` are enough for the cells to stand still."""
     topic = "CASE WHEN instr(t, ' | ') > 0 THEN 'table' WHEN regexp_matches(t, '[#$%&*]{3}') THEN 'marked' WHEN regexp_matches(t, '[0-9]{4}') THEN 'numbers' ELSE 'prose' END"
     ctes = [
-        "d0 AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, coalesce(text, '') AS t FROM documents)",
+        "d0 AS (SELECT doc_id, coalesce('=' || source, '-') AS source, coalesce('=' || lang, '-') AS lang, coalesce(text, '') AS t FROM documents)",
         f"d AS (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n FROM d0)",
         "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
     ]
