@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_view, gram_ids, map_texts, text_bytes
+from .common import bounded_sample, doc_view, gram_ids, map_texts, text_bytes
 
 ORDERS = (2, 3, 4)
 
@@ -101,15 +101,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], bits: int = 15, dim: i
 
 
 def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1500, bits: int = 15, max_chars: int = 200_000) -> Model:
-    """Trains on the ``rows`` lowest id hashes among rows for which ``learn`` holds, lang is known and the text is up to ``max_chars``.
+    """Trains on the ``rows`` lowest id hashes among rows for which ``learn`` holds, lang is known and the text is up to ``max_chars``, one text an id.
 
     That bound is the model's documented sample; counts are made on the executors, so that the
     driver gets at most 2 ** bits numbers a row.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    d = d.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    sample = d.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).dropDuplicates(["doc_id"])
-    d = d.join(F.broadcast(sample), "doc_id")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
+    d = bounded_sample(d.filter(F.col("learn") & F.col("lang").isNotNull()).drop("learn"), rows, max_chars)
 
     def work(texts):
         made = [counts(t, bits) for t in texts]
@@ -125,7 +123,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score, rejected; one row for each input row, from the whole text alone.
 
     A null text and one without a letter are ``und`` with score 0 and count as rejected. score is the
-    calibrated probability of lang_pred; rejected: it is below the calibrated threshold.
+    calibrated probability of lang_pred, of equals the first by name; rejected: it is below the calibrated threshold.
+    Rows that repeat a text are predicted alike, null ids stay null, an empty table gives an empty one, and other columns
+    are left out, whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
