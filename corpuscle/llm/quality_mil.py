@@ -59,18 +59,19 @@ class Model:
 
     def raw(self, text: str | None) -> float:
         ids, dense = featurize(text, self.bits)
-        sizes = np.array([len(i) for i in ids])
-        flat = np.concatenate(ids)
-        mean = np.zeros((len(ids), self.emb.shape[1]), np.float32)
-        some = sizes > 0
-        if len(flat):
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            mean[some] = np.add.reduceat(self.emb[flat], starts, axis=0) / sizes[some, None]
+        mean = np.stack([self.mean(i) for i in ids])
         z = np.tanh(np.hstack([mean, dense]) @ self.w1 + self.b1)
         s = (np.tanh(z @ self.v) * sigmoid(z @ self.u)) @ self.a
         w = np.exp(s - s.max())
         return float((w / w.sum()) @ z @ self.c + self.b)
 
+    def mean(self, ids: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+        """The mean embedding of a passage's grams, some at a time: one word may be as long as its text."""
+        total = np.zeros(self.emb.shape[1], np.float32)
+        for a in range(0, len(ids), chunk):
+            total += self.emb[ids[a : a + chunk]].sum(0)
+        return total / max(len(ids), 1)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return sigmoid(self.slope * np.array([self.raw(t) for t in texts]) + self.offset)
 
@@ -145,7 +146,10 @@ def train(rows: list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray, int]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 2000, bits: int = 12, max_chars: int = 50_000) -> Model:
-    """Trains on a bounded sample: the ``rows`` lowest id hashes among labelled texts up to ``max_chars``."""
+    """Trains on a bounded sample: the ``rows`` lowest id hashes among labelled texts up to ``max_chars``, one text an id.
+
+    Labels without an id or a label, and null texts, do not train; without rows of both labels the score is constant.
+    """
     sample = labelled_sample(doc_view(docs, id_col, text_col), labels, label, rows, max_chars)
 
     def work(texts):
@@ -159,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return out
 
     nested = lambda kind: T.ArrayType(T.ArrayType(kind))
-    fields = [T.StructField("ids", nested(T.ShortType())), T.StructField("n", nested(T.ShortType())), T.StructField("traits", nested(T.FloatType()))]
+    fields = [T.StructField("ids", nested(T.ShortType())), T.StructField("n", nested(T.IntegerType())), T.StructField("traits", nested(T.FloatType()))]
     got = map_texts(sample, work, fields, keep=("doc_id", "label")).toArrow().sort_by("doc_id")
     rows_ = []
     for i, n, t, y in zip(got["ids"], got["n"], got["traits"], got["label"].to_pylist(), strict=True):
@@ -171,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted; one row for each input row, from the whole text.
 
-    A null text scores as the empty one: a single passage without words.
+    A null text scores as the empty one: a single passage without words. Rows that repeat a text score alike, null ids
+    stay null, an empty table gives an empty one, and other columns are left out, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
