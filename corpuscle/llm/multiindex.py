@@ -4,7 +4,8 @@ Two codebooks, one for each half of the unit vectors, make a product grid of
 cells. A vector is stored in its nearest cell and asks the nearest cells in the
 order of the multi-sequence traversal, as many as reach the target recall for
 neighbours right at the threshold. What a cell holds and what asks it are
-compared in double precision, in blocks.
+compared in double precision, in blocks. Holders travel with the cells that they
+ask, askers with their home alone: enough to count a pair once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .common import Scratch, small_batches
 from .graph import components
 
 
+#: Rows in a cell that the codebooks aim at; rows of a block; cells whose sizes are broadcast (24 bytes each).
+CELL, BLOCK, BROADCAST_CELLS = 512, 1024, 500_000
+
+
 @dataclass
 class Grid:
     left: np.ndarray
@@ -77,14 +82,14 @@ def codebook(x: np.ndarray, k: int, seed: int, steps: int = 12) -> np.ndarray:
     return c
 
 
-def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.99, cell: int = 256, seed: int = 1) -> Grid:
-    """Codebooks for about ``cell`` rows a cell, and the visits that reach ``recall``.
+def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.99, cell: int = CELL, least: int = 8, seed: int = 1) -> Grid:
+    """Codebooks for about ``cell`` rows a cell, ``least`` words each at the least, and the visits that reach ``recall``.
 
     Recall is measured on neighbours made at exactly the threshold, in random directions: a pair
     is found if either end asks the home of the other. Closer neighbours are found more surely.
     """
     half = max(1, sample.shape[1] // 2)
-    k = int(np.clip(round(np.sqrt(rows / cell)), 1, 1024))
+    k = int(np.clip(round(np.sqrt(rows / cell)), least, 1024))
     grid = Grid(codebook(sample[:, :half], k, seed), codebook(sample[:, half:], k, seed + 1) if sample.shape[1] > half else np.zeros((1, 0)), 1)
     rng = np.random.default_rng(seed + 2)
     x = sample[rng.choice(len(sample), min(1000, len(sample)), replace=False)]
@@ -113,6 +118,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def keyed(df: DataFrame) -> DataFrame:
     """vec_id, key, vector: key is a digest of the components; both null for vectors that link with nothing."""
+    kind = df.schema["vector"].dataType.elementType
+    arrow = pa.float32() if isinstance(kind, T.FloatType) else pa.float64()
 
     def run(batches):
         for batch in batches:
@@ -123,9 +130,9 @@ def keyed(df: DataFrame) -> DataFrame:
                 ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
                 keys.append(hashlib.md5(x.tobytes()).digest() if ok else None)
                 vectors.append(x.tolist() if ok else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vectors, pa.list_(pa.float64()))], names=["vec_id", "key", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vectors, pa.list_(arrow))], names=["vec_id", "key", "vector"])
 
-    schema = T.StructType([df.schema["vec_id"], T.StructField("key", T.BinaryType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([df.schema["vec_id"], T.StructField("key", T.BinaryType()), T.StructField("vector", T.ArrayType(kind))])
     return df.mapInArrow(run, schema)
 
 
@@ -135,35 +142,33 @@ def matrix(column) -> np.ndarray:
 
 
 def asked(classes: DataFrame, grid: Grid) -> DataFrame:
-    """cell, home (whether it is the row's own), key, n, vector, asks: one row for each cell that a vector asks."""
+    """key, n, vector, asks: the cells that each vector asks, its home first."""
     shared = classes.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 cells = shared.value.cells(unit(matrix(batch.column("vector"))))
-                n, visits = cells.shape
-                take = pa.array(np.repeat(np.arange(n), visits))
-                each = [batch.column(k).take(take) for k in ("key", "n", "vector")]
-                asks = pa.array(list(cells), pa.list_(pa.int64())).take(take)
-                home = np.tile(np.arange(visits) == 0, n)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(home), *each, asks], names=["cell", "home", "key", "n", "vector", "asks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int64()))], names=[*batch.schema.names, "asks"])
 
-    return classes.select("key", "n", "vector").mapInArrow(run, "cell long, home boolean, key binary, n long, vector array<double>, asks array<long>")
+    classes = classes.select("key", "n", "vector")
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("asks", T.ArrayType(T.LongType()))]))
 
 
-def block_pairs(keys: list[bytes], n: np.ndarray, x: np.ndarray, asks: np.ndarray, holders: np.ndarray, askers: np.ndarray, cell: int, threshold: float):
+def block_pairs(keys: list[bytes], n: np.ndarray, x: np.ndarray, asks: np.ndarray, home: np.ndarray, holders: np.ndarray, askers: np.ndarray, cell: int, threshold: float):
     """Links between holders and askers of one cell: (links of each row, connecting pairs of rows).
 
-    A pair that meets in two cells counts in that of the end with the lesser key alone.
+    ``asks`` has the cells that holders ask. A pair that meets in two cells counts in that of the end with the lesser key alone.
     """
     sim = x[holders] @ x[askers].T
     i, j = np.nonzero(sim >= threshold)
     i, j = holders[i], askers[j]
-    other = np.array([keys[a] != keys[b] for a, b in zip(i, j, strict=True)], bool)
-    i, j = i[other], j[other]
-    apart = asks[j, 0] != cell
-    twice = apart & (asks[i] == asks[j, 0][:, None]).any(1) & np.array([keys[b] < keys[a] for a, b in zip(i, j, strict=True)], bool)
+    rank = np.empty(len(keys), np.int64)
+    rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+    i, j = i[i != j], j[i != j]
+    apart = home[j] != cell
+    twice = apart & (rank[j] < rank[i])
+    twice[twice] = (asks[i[twice]] == home[j[twice]][:, None]).any(1)
     i, j, apart = i[~twice], j[~twice], apart[~twice]
     links = np.bincount(i, n[j], len(keys)) + np.bincount(j[apart], n[i[apart]], len(keys))
     root = np.arange(len(keys))
@@ -178,17 +183,23 @@ def block_pairs(keys: list[bytes], n: np.ndarray, x: np.ndarray, asks: np.ndarra
     return links, [(k, r) for k, r in enumerate(root) if k != r]
 
 
-def compare(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+def compare(cells: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """key, links, u, v: link counts (u null) and connecting pairs (key null) of every cell, in blocks of holders and askers."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / block).alias("holds"), F.ceil(F.count("*") / block).alias("askers")).filter("holds > 0")
-    rows = rows.join(sizes, "cell")
+    spark = cells.sparkSession
+    visits = cells.select(F.posexplode("asks").alias("place", "cell"))
+    sizes = visits.groupBy("cell").agg(F.ceil(F.count_if(F.col("place") == 0) / block).alias("holds"), F.ceil(F.count("*") / block).alias("askers")).filter("holds > 0")
+    sizes = Scratch(spark, "multi-index").write(sizes, "sizes")
+    side = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hold, ask = F.pmod(F.xxhash64("key", F.lit(1)), F.col("holds")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("askers"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    spot = lambda h, a, holder: F.struct(h.cast("long").alias("h"), a.cast("long").alias("a"), F.lit(holder).alias("holder"))
-    as_holder = F.when(F.col("home"), F.transform(upto("askers"), lambda a: spot(hold, a, True))).otherwise(F.array().cast("array<struct<h:bigint,a:bigint,holder:boolean>>"))
-    as_asker = F.transform(upto("holds"), lambda h: spot(h, ask, False))
-    rows = rows.select("cell", "key", "n", "vector", "asks", F.explode(F.concat(as_holder, as_asker)).alias("s")).select("cell", "s.h", "s.a", "s.holder", "key", "n", "vector", "asks")
-    rows = rows.repartition("cell", "h", "a").sortWithinPartitions("cell", "h", "a")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = cells.withColumn("cell", F.get("asks", F.lit(0))).join(side, "cell")
+    own = own.select("cell", "askers", hold.alias("h"), upto("askers").alias("a"), F.lit(True).alias("holder"), "key", "n", "vector", "asks")
+    other = cells.select("key", "n", "vector", F.slice("asks", 1, 1).alias("asks"), F.explode("asks").alias("cell")).join(side, "cell")
+    other = other.select("cell", "askers", upto("holds").alias("h"), ask.alias("a"), F.lit(False).alias("holder"), "key", "n", "vector", "asks")
+    # The blocks of a cell go round the tasks, from a place of the cell's own.
+    task = F.pmod(F.pmod(F.xxhash64("cell"), F.lit(tasks)) + F.col("h") * F.col("askers") + F.col("a"), F.lit(tasks)).cast("int")
+    rows = own.unionByName(other).repartitionById(tasks, task).drop("askers").sortWithinPartitions("cell", "h", "a")
 
     def run(batches):
         now, held = None, []
@@ -196,7 +207,8 @@ def compare(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
         def done():
             place = {}
             for r in held:
-                place.setdefault(r[1], r)
+                if r[0] or r[1] not in place:
+                    place[r[1]] = r
             keys = list(place)
             index = {k: i for i, k in enumerate(keys)}
             holders = np.array([index[r[1]] for r in held if r[0]], np.int64)
@@ -204,7 +216,10 @@ def compare(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
             if not len(holders) or not len(askers):
                 return None
             n = np.array([place[k][2] for k in keys], np.float64)
-            links, pairs = block_pairs(keys, n, unit(np.array([place[k][3] for k in keys])), np.array([place[k][4] for k in keys]), holders, askers, now[0], threshold)
+            asks = np.full((len(keys), max(len(place[k][4]) for k in keys)), -1, np.int64)
+            for i, k in enumerate(keys):
+                asks[i, : len(place[k][4])] = place[k][4]
+            links, pairs = block_pairs(keys, n, unit(np.array([place[k][3] for k in keys], np.float64)), asks, asks[:, 0], holders, askers, now[0], threshold)
             some = np.flatnonzero(links)
             void, count = [None] * len(pairs), len(some)
             return pa.RecordBatch.from_arrays(
@@ -233,13 +248,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     precision, equal vectors included; component_id is the least id reachable by links, the row's
     own included; kept: it is the row's id. Null, empty and zero vectors, and those with a null or
     non-finite component, link with nothing; vectors of different lengths do not link. Rows that
-    repeat an id are vectors of their own. Codebooks are fitted on ``sample_rows`` vectors, the
-    least digests; every vector is indexed.
+    repeat an id are vectors of their own; null ids stay null and are above every other. Codebooks are fitted on
+    ``sample_rows`` vectors, the least digests; every vector is indexed, in a grid of 8 by 8 cells at the least. Columns
+    but the two named are left out, whatever their names. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "multi-index")
-    small_batches(spark)
-    df = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    small_batches(spark, 2048)
+    kind = vectors.schema[vector_col].dataType
+    narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    df = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>" if narrow else "array<double>").alias("vector"))
     rows = scratch.write(keyed(df), "rows")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = scratch.write(classes.withColumn("dim", F.size("vector")), "classes")
@@ -248,7 +266,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         part = classes.filter(F.col("dim") == dim)
         sample = part.select("key", "vector").orderBy("key").limit(sample_rows).toArrow()
         grid = fit(unit(matrix(sample["vector"].combine_chunks())), n, threshold, recall)
-        one = compare(asked(part, grid), threshold)
+        one = compare(scratch.write(asked(part, grid), "cells"), threshold)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
