@@ -9,6 +9,7 @@ scored. Trained in numpy, calibrated by Platt's method on rows kept aside.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,18 @@ def passages(text: str | None) -> list[list[str]]:
     return [words[a : a + PASSAGE] for a in range(0, len(words), PASSAGE)] or [[]]
 
 
+@lru_cache
+def kinds() -> np.ndarray:
+    """1 for letters, 2 for digits, 4 for upper case, added, by code point."""
+    return np.fromiter((c.isalpha() + 2 * c.isdigit() + 4 * c.isupper() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
 def traits(words: list[str], joined: str) -> list[float]:
     """Length, distinct share, and shares of upper-case, digit and other characters."""
     n, c = len(words), max(1, len(joined) - len(words) + 1)
-    letters = sum(map(str.isalpha, joined))
-    digits = sum(map(str.isdigit, joined))
-    return [n / PASSAGE, len(set(words)) / n if n else 0.0, sum(map(str.isupper, joined)) / c, digits / c, max(0.0, (c - letters - digits)) / c]
+    kind = kinds()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
+    letters, digits, upper = (int(np.count_nonzero(kind & bit)) for bit in (1, 2, 4))
+    return [n / PASSAGE, len(set(words)) / n if n else 0.0, upper / c, digits / c, max(0.0, (c - letters - digits)) / c]
 
 
 def featurize(text: str | None, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -59,18 +66,25 @@ class Model:
 
     def raw(self, text: str | None) -> float:
         ids, dense = featurize(text, self.bits)
-        mean = np.stack([self.mean(i) for i in ids])
+        mean = self.means(ids)
         z = np.tanh(np.hstack([mean, dense]) @ self.w1 + self.b1)
         s = (np.tanh(z @ self.v) * sigmoid(z @ self.u)) @ self.a
         w = np.exp(s - s.max())
         return float((w / w.sum()) @ z @ self.c + self.b)
 
-    def mean(self, ids: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-        """The mean embedding of a passage's grams, some at a time: one word may be as long as its text."""
-        total = np.zeros(self.emb.shape[1], np.float32)
-        for a in range(0, len(ids), chunk):
-            total += self.emb[ids[a : a + chunk]].sum(0)
-        return total / max(len(ids), 1)
+    def means(self, ids: list[np.ndarray], chunk: int = 1 << 15) -> np.ndarray:
+        """The mean embedding of each passage's grams, about ``chunk`` of them at a time: one word may be as long as its text."""
+        out, sizes, a = np.zeros((len(ids), self.emb.shape[1]), np.float32), np.array([len(i) for i in ids]), 0
+        while a < len(ids):
+            b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a : a + chunk]), chunk, "right")))
+            some = a + np.flatnonzero(sizes[a:b])
+            if b == a + 1:
+                for k in range(0, sizes[a], chunk):
+                    out[a] += self.emb[ids[a][k : k + chunk]].sum(0)
+            elif len(some):
+                out[some] = np.add.reduceat(self.emb[np.concatenate(ids[a:b])], np.cumsum(sizes[some]) - sizes[some], axis=0)
+            a = b
+        return out / np.maximum(sizes, 1)[:, None]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return sigmoid(self.slope * np.array([self.raw(t) for t in texts]) + self.offset)
