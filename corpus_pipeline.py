@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import bagminhash, bpe, mixing, pii, quality_mil
-from corpuscle.llm.common import Scratch, id_remainder, read
+from corpuscle.llm.common import Scratch, id_remainder, read, text_hash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids up to this count are broadcast (8 bytes each); beyond it the same join shuffles.
+#: Documents to drop up to this count are broadcast (16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 
 
@@ -21,11 +21,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least id; rows without an id stay."""
-    dropped = bagminhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    dropped = Scratch(spark, "pipeline").write(dropped, "dropped")
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.select(*COLUMNS).join(side, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates, the one of least id.
+
+    A document is its id and its text, so a text stays whatever other rows share its id. Of rows that
+    repeat both one stays, that of the least other columns; empty texts all stay.
+    """
+    found = bagminhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    empty = F.col("hash_") == text_hash(F.lit(""))
+    marked = Scratch(spark, "pipeline").write(found.filter(~F.col("kept") | ((F.col("n") > 1) & ~empty)), "marked")
+    total, repeated = marked.agg(F.count("*"), F.count_if("kept")).first()
+    side = F.broadcast(marked) if total <= BROADCAST_IDS else marked
+    d = docs.select(*COLUMNS, text_hash(F.col("text")).alias("text_hash_"))
+    same = (F.col("text_hash_") == F.col("hash_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
+    stay = d.join(side, same, "left_anti").select(*COLUMNS)
+    if not repeated:
+        return stay
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    several = d.join(side.filter("kept"), same, "left_semi").groupBy("doc_id", "text_hash_").agg(F.min(F.struct(*rest)).alias("row"))
+    return stay.unionByName(several.select("doc_id", *[F.col("row")[c].alias(c) for c in rest]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents; every stage before it is written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
