@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +53,42 @@ def draw(seed: int | str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 
 
+def enough(df: DataFrame, n: int) -> DataFrame:
+    """The frame itself; refuses one with fewer than ``n`` rows, of which no more are read."""
+    have = df.limit(n).count()
+    if have < n:
+        raise ValueError(f"only {have} usable documents, {n} needed")
+    return df
+
+
 def sample(df: DataFrame, n: int, seed: int, pos: str) -> DataFrame:
-    """n rows without replacement; which ones depends on seed and id alone. Too few rows are refused when consumed."""
-    return df.orderBy(draw(seed, pos), pos).limit(n)
+    """n rows without replacement, in source order; which ones depends on seed and id alone. Too few rows are refused."""
+    return enough(df, n).orderBy(draw(seed, pos), pos).limit(n).orderBy(pos)
+
+
+def first_rows(df: DataFrame, n: int, pos: str, last: bool = False) -> DataFrame:
+    """The first (or last) n rows in source order; too few rows are refused."""
+    return enough(df, n).orderBy(F.desc(pos) if last else F.asc(pos)).limit(n)
+
+
+def batches(df: DataFrame, size: Column, pos: str, rows: int) -> DataFrame:
+    """Adds batch: rows of like size together, ``rows`` a batch, so that little is padded. Equal sizes go by pos."""
+    from .stats import ranked
+
+    d = ranked(df.withColumn("_size", size), "_size", pos, "_rank")
+    return d.withColumn("batch", F.floor(F.col("_rank") / rows).cast("long")).drop("_size", "_rank")
+
+
+def order_digest(df: DataFrame, pos: str, value: Column, bucket: int = BUCKET) -> DataFrame:
+    """digest, n: one digest of all values in the order of the integer ``pos``.
+
+    It is the digest of the digests of runs of positions, so that a run is hashed in its own task and one line
+    for each run, not for each row, meets in the last.
+    """
+    lines = lambda key, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, h))), lambda x: x["h"]), "\n").cast("binary"), 256)
+    d = df.select(F.col(pos).alias("p"), F.floor(F.col(pos) / bucket).alias("b"), F.sha2(value.cast("binary"), 256).alias("h"))
+    runs = d.groupBy("b").agg(lines("p", "h").alias("h"), F.count("*").alias("n"))
+    return runs.agg(lines("b", "h").alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def budget_split(df: DataFrame, pos: str, size: Column, first_budget: int, middle_rows: int, last_budget: int) -> DataFrame:
@@ -69,40 +103,69 @@ def budget_split(df: DataFrame, pos: str, size: Column, first_budget: int, middl
     return d.withColumn("split", split).drop("_s", "_c", "_first", "_mid", "_r", "_l")
 
 
-def shard_assign(df: DataFrame, pos: str, size: Column, limit: int) -> DataFrame:
-    """pos, shard: a shard closes after the row that brings it to ``limit``.
+def in_order(df: DataFrame, pos: str, schema: str, fold) -> DataFrame:
+    """``fold(positions, sizes, state) -> (numbers, state)`` over all rows in the order of ``pos``, some thousand at a time.
 
-    The cut depends on all rows before, so sizes alone (16 bytes a row) pass through one ordered
-    state; texts stay where they are and join their shard by id.
+    What a row gets depends on all rows before it, so the pairs of position and size (16 bytes a row, no texts) pass
+    through one sorted stream; it holds one batch and a few numbers, and spills while it sorts.
     """
-    step = F.struct(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<pos:bigint,shard:bigint>>").alias("out"))
 
-    def add(acc, x):
-        held = acc["held"] + x["size"]
-        full = held >= limit
-        row = F.struct(x["pos"].alias("pos"), acc["shard"].alias("shard"))
-        return F.struct((acc["shard"] + full.cast("long")).alias("shard"), F.when(full, 0).otherwise(held).cast("long").alias("held"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def run(frames):
+        state = None
+        for f in frames:
+            numbers, state = fold(f["pos"].to_numpy(), f["size"].to_numpy(), state)
+            yield pd.DataFrame({"pos": f["pos"], "number": numbers})
+
+    return df.repartition(1).sortWithinPartitions("pos").mapInPandas(run, "pos long, number long").filter("number >= 0").toDF(*schema.split())
+
+
+def closed_after(sizes, held: int, number: int, limit: int) -> tuple[list[int], int, int]:
+    """The number of each row's part, what the open part holds, and its number: a part closes after the row that brings it to ``limit``."""
+    total, out, a = sizes.cumsum(), [], 0
+    while a < len(sizes):
+        before = int(total[a - 1]) if a else 0
+        # The first row at which the part is full, found in the running sums.
+        b = int(total.searchsorted(before + limit - held))
+        end = min(b + 1, len(sizes))
+        out += [number] * (end - a)
+        if b < len(sizes):
+            number, held = number + 1, 0
+        else:
+            held += int(total[-1]) - before
+        a = end
+    return out, held, number
+
+
+def shard_assign(df: DataFrame, pos: str, size: Column, limit: int) -> DataFrame:
+    """pos, shard: a shard closes after the row that brings it to ``limit``."""
+
+    def fold(_, sizes, state):
+        out, held, number = closed_after(sizes, *(state or (0, 0)), limit)
+        return out, (held, number)
+
+    return in_order(df.select(F.col(pos).cast("long").alias("pos"), size.cast("long").alias("size")), pos, f"{pos} shard", fold)
+
 
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), size.cast("long").alias("size")))).alias("a"))
-    return rows.select(F.explode(F.aggregate("a", step, add, lambda acc: acc["out"])).alias("r")).select(F.col("r.pos").alias(pos), "r.shard")
+def shard_names(shards: DataFrame, shard: str = "shard", validation: int | None = None) -> DataFrame:
+    """Adds name: shards by number, the validation shard by one that sorts after all others."""
+    number = F.col(shard) if validation is None else F.when(F.col(shard) == validation, 99_999).otherwise(F.col(shard))
+    return shards.withColumn("name", F.format_string("shard_%05d", number.cast("long")))
 
 
 def unit_parts(units: DataFrame, order: str, size: str, part_limit: int, total_limit: int) -> DataFrame:
     """order, part of the units kept: a part closes at a unit end once it has ``part_limit`` or the total ``total_limit``.
 
-    One row per unit (a row group of a file) passes through the ordered state, not one per document.
+    One row per unit (a row group of a file) passes through the ordered stream, not one per document.
     """
-    step = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<o:bigint,part:bigint>>").alias("out"))
 
-    def add(acc, x):
-        held, total = acc["held"] + x["size"], acc["total"] + x["size"]
-        full = (held >= part_limit) | (total >= total_limit)
-        row = F.struct(x["o"].alias("o"), acc["part"].alias("part"))
-        new = F.struct((acc["part"] + full.cast("long")).alias("part"), F.when(full, 0).otherwise(held).cast("long").alias("held"), total.cast("long").alias("total"), F.concat(acc["out"], F.array(row)).alias("out"))
-        return F.when(acc["total"] >= total_limit, acc).otherwise(new)
+    def fold(_, sizes, state):
+        held, part, total = state or (0, 0, 0)
+        before = total + sizes.cumsum() - sizes
+        kept = int((before < total_limit).sum())
+        out, held, part = closed_after(sizes[:kept], held, part, part_limit)
+        return out + [-1] * (len(sizes) - kept), (held, part, total + int(sizes.sum()))
 
-    rows = units.agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("size")))).alias("a"))
-    return rows.select(F.explode(F.aggregate("a", step, add, lambda acc: acc["out"])).alias("r")).select(F.col("r.o").alias(order), "r.part")
+    return in_order(units.select(F.col(order).cast("long").alias("pos"), F.col(size).cast("long").alias("size")), order, f"{order} part", fold)
 
 
 def contiguity(df: DataFrame, pos: str, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
 from corpuscle.operators import corpus as C
+from corpuscle.operators.stats import ranked
 from corpuscle.sources import io
 
 from .catalog import query
@@ -51,10 +52,10 @@ def event_prop_extract(spark, sf_dir):
     return io.table(spark, sf_dir, "events").select("event_id", io.last_match(F.col("props"), r'"k": *([0-9]+)').cast("long").alias("k"))
 
 
-@query("SELECT sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents")
+@query("""WITH b AS (SELECT doc_id // 65536 AS b, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b""")
 def corpus_digest(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", X.digest(F.col("text")).alias("h"))
-    return d.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256).alias("digest"), F.count("*").alias("n"))
+    return C.order_digest(docs(spark, sf_dir), "doc_id", F.col("text"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -107,9 +108,25 @@ def skip_head_window(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.skip_head_window(F.col("text")).alias("text"))
 
 
-@query()
+#: What may follow the name of a tag, and the entities that the pages use.
+TAG_REST = r"""(?:\s(?:[^>"'']|"[^"]*"|''[^'']*'')*)?/?>"""
+
+
+def page_sql(column: str) -> str:
+    """A page's lines in DuckDB: comments and hidden elements out, blocks to line ends, other tags out, entities, white space."""
+    t = f"regexp_replace(regexp_replace({column}, '\\s', ' ', 'g'), '<!--.*?-->', '', 'g')"
+    for tag in X.HIDDEN:
+        t = f"regexp_replace({t}, '(?i)<{tag}{TAG_REST}.*?(?:</{tag}\\s*>|$)', '', 'g')"
+    t = f"regexp_replace({t}, '(?i)</?(?:{'|'.join(X.BLOCKS)}){TAG_REST}', chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?i)<(?:[!?][^>]*|/?[a-z][^\\s/>]*{TAG_REST[:-1]})>', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT page_id, array_to_string({page_sql('html')}, chr(10)) AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    return io.table(spark, sf_dir, "pages").select("page_id", X.html_text("html").alias("text"))
+    return io.table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+')) AS BIGINT) AS syllables FROM documents")
@@ -138,10 +155,9 @@ def byte_alphabet(spark, sf_dir):
     return spark.createDataFrame(sorted(X.byte_alphabet().items()), "byte long, symbol string")
 
 
-SPANS = r"SELECT doc_id, regexp_extract_all(left(text, 400), '\S+') AS w FROM documents"
-
-
-@query(r"SELECT doc_id, pos, greatest(0, e - coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS chars FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(length(array_to_string(list_slice(w, 1, pos + 1), '')) - (pos % 3) * 2 AS BIGINT) AS e FROM (" + SPANS + ") t, unnest(range(len(w))) u(pos))")
+@query(r"""WITH w AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\t\n\x0B\f\r ]+') AS w FROM documents)),
+e AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY pos) - (pos % 3) * 2 AS BIGINT) AS e FROM w)
+SELECT doc_id, pos, greatest(0, e - coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS chars FROM e""")
 def token_chars(spark, sf_dir):
     w = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("pos", "w")).select("doc_id", "pos", F.length("w").alias("n"))
     tokens = Window.partitionBy("doc_id").orderBy("pos")
@@ -150,7 +166,7 @@ def token_chars(spark, sf_dir):
     return ends.select("doc_id", F.col("pos").cast("long").alias("pos"), X.token_chars(F.col("e"), tokens).cast("long").alias("chars"))
 
 
-MARKED = "'  ' || left(replace(text, ' ', '  '), 60) || ' [title] x [a] [b]c '"
+MARKED = "'  ' || replace(text, ' ', '  ') || ' [title] x [a] [b]c '"
 
 
 @query(f"SELECT doc_id, trim(replace(regexp_replace(replace(trim({MARKED}, ' '), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '), ' ') AS text FROM documents")
@@ -191,12 +207,22 @@ USABLE = f"SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) >= 300
 
 @query(f"SELECT doc_id FROM ({USABLE}) ORDER BY doc_id LIMIT 40")
 def first_n_usable(spark, sf_dir):
-    return exact_dedup(spark, sf_dir).orderBy("doc_id").limit(40)
+    return C.first_rows(exact_dedup(spark, sf_dir), 40, "doc_id")
 
 
 @query(f"SELECT doc_id FROM ({USABLE}) ORDER BY doc_id DESC LIMIT 40")
 def last_n_usable(spark, sf_dir):
-    return exact_dedup(spark, sf_dir).orderBy(F.desc("doc_id")).limit(40)
+    return C.first_rows(exact_dedup(spark, sf_dir), 40, "doc_id", last=True)
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY length(text), doc_id) - 1) // 64 AS BIGINT) AS batch FROM documents")
+def length_batches(spark, sf_dir):
+    return C.batches(docs(spark, sf_dir).select("doc_id", F.length("text").alias("chars")), F.col("chars"), "doc_id", 64).select("doc_id", "batch")
+
+
+@query("SELECT doc_id, replace(replace(text, ' ', chr(10)), chr(10) || chr(10) || chr(10), chr(10) || chr(10)) AS text FROM documents")
+def blank_lines(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.collapse_blank_lines(F.replace("text", F.lit(" "), F.lit("\n"))).alias("text"))
 
 
 @query("""WITH a AS (SELECT doc_id, strlen(text) AS s, sum(strlen(text)) OVER (ORDER BY doc_id) AS c FROM documents),
@@ -252,9 +278,8 @@ def stream_parts(spark, sf_dir):
 @query("""WITH r AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
 SELECT count(*) AS n_all, count(*) FILTER (k < floor(n * CAST(0.95 AS DOUBLE))) AS n_95, CAST(sum(chars) FILTER (k < floor(n * CAST(0.95 AS DOUBLE))) AS BIGINT) AS chars_95, CAST(sum(chars) FILTER (k < n // 2) AS BIGINT) AS chars_short, CAST(sum(chars) FILTER (k >= n // 2) AS BIGINT) AS chars_long FROM r""")
 def length_strata(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.length("text").alias("chars"))
-    k, n = F.row_number().over(Window.orderBy("chars", "doc_id")) - 1, F.count("*").over(Window.partitionBy())
-    d = d.withColumns({"k": k, "n": n})
+    d = ranked(docs(spark, sf_dir).select("doc_id", F.length("text").alias("chars")), "chars", "doc_id", "k")
+    d = d.crossJoin(F.broadcast(docs(spark, sf_dir).agg(F.count("*").alias("n"))))
     short, most = F.col("k") < F.floor(F.col("n") / 2), F.col("k") < F.floor(F.col("n") * 0.95)
     total = lambda c: F.sum(F.when(c, F.col("chars"))).cast("long")
     return d.agg(F.count("*").alias("n_all"), F.count_if(most).alias("n_95"), total(most).alias("chars_95"), total(short).alias("chars_short"), total(~short).alias("chars_long"))

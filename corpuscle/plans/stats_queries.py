@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as X
@@ -13,43 +13,52 @@ from .catalog import query
 from .measure_queries import PAIRS, SCORES, both, scores
 
 RESAMPLES = 10_000
-#: Resamples of the SQL.
-B = 60
-DRAW = "('0x' || substr(md5(b || '|' || r), 1, 8))::BIGINT % n"
 LN2 = "ln(CAST(2 AS DOUBLE))"
-ROWS = PAIRS + ", q AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS r, count(*) OVER () AS n FROM p)"
-BY_DOMAIN = PAIRS + ", q AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY domain) AS n FROM p)"
+#: The SQL draws as groups of one bucket do; larger groups draw each bucket's part by a multinomial split.
+ALL = H.draws_sql("SELECT i, chars, nats_a, nats_b FROM p", None, RESAMPLES)
+STRATA = f"""{PAIRS}, x AS (SELECT domain, b, sum(nats_a) / sum(nats_b) - 1 AS rel, sum(nats_a) / ({LN2} * sum(chars)) AS bpc_a, sum(nats_b) / ({LN2} * sum(chars)) AS bpc_b FROM {H.draws_sql("SELECT i, domain, chars, nats_a, nats_b FROM p", "domain", RESAMPLES)} GROUP BY domain, b)"""
 
 
-def by_domain(spark, sf_dir):
+def by_domain(spark, sf_dir) -> DataFrame:
     p = both(spark, sf_dir).select("i", "chars", "nats_a", "nats_b").join(scores(spark, sf_dir).filter("run = 'a'").select("i", "domain"), "i")
     return H.resampled(p, ["domain"], RESAMPLES, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
 
 
-@query(f"""WITH {ROWS}, d AS (SELECT b, r, {DRAW} AS j FROM (SELECT r, n FROM q), range({B}) t(b)),
-x AS (SELECT b, (sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)) AS diff FROM d JOIN q ON d.j = q.r GROUP BY b)
-SELECT round(quantile_cont(diff, 0.025), 6) AS lo, round(quantile_cont(diff, 0.5), 6) AS median, round(quantile_cont(diff, 0.975), 6) AS hi FROM x""")
-def paired_bootstrap(spark, sf_dir):
-    x = H.resampled(both(spark, sf_dir).select("i", "chars", "nats_a", "nats_b"), [], RESAMPLES, {"nats_a": "a", "nats_b": "b_", "chars": "c"})
-    return x.select(((F.col("a") - F.col("b_")) / (F.ln(F.lit(2.0)) * F.col("c"))).alias("diff")).agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p")).select(*[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("lo", "median", "hi"))])
+def rounded(*columns: str) -> list:
+    return [F.round(c, 6).alias(c) for c in columns]
 
 
-STRATA = f"""{BY_DOMAIN}, d AS (SELECT domain, b, r, {DRAW} AS j FROM (SELECT domain, r, n FROM q), range({B}) t(b)),
-x AS (SELECT d.domain, b, sum(nats_a) / sum(nats_b) - 1 AS rel, sum(nats_a) / ({LN2} * sum(chars)) AS bpc FROM d JOIN q ON d.j = q.r AND d.domain = q.domain GROUP BY d.domain, b)"""
+@query(f"""WITH {PAIRS}, x AS (SELECT b, (sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)) AS diff, sum(nats_a) / sum(nats_b) - 1 AS rel FROM {ALL} GROUP BY b),
+y AS (SELECT (sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)) AS diff, sum(nats_a) / sum(nats_b) - 1 AS rel_diff FROM p),
+z AS (SELECT quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.5) AS median, quantile_cont(diff, 0.975) AS hi, quantile_cont(rel, 0.025) AS rel_lo, quantile_cont(rel, 0.975) AS rel_hi FROM x)
+SELECT round(diff, 6) AS diff, round(lo, 6) AS lo, round(median, 6) AS median, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS significant, round(rel_diff, 6) AS rel_diff, round(rel_lo, 6) AS rel_lo, round(rel_hi, 6) AS rel_hi FROM y, z""")
+def paired_bootstrap(spark, sf_dir):
+    return H.paired_bootstrap(both(spark, sf_dir), RESAMPLES).select(*rounded("diff", "lo", "median", "hi"), "significant", *rounded("rel_diff", "rel_lo", "rel_hi"))
 
 
 @query(f"""WITH {STRATA}, m AS (SELECT b, avg(rel) AS rel FROM x GROUP BY b)
 SELECT round(quantile_cont(rel, 0.025), 6) AS lo, round(quantile_cont(rel, 0.5), 6) AS median, round(quantile_cont(rel, 0.975), 6) AS hi FROM m""")
 def stratified_bootstrap(spark, sf_dir):
     x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / F.col("b_") - 1).alias("rel"))
-    return x.agg(*H.interval(F.col("rel"))).select(*[F.round(c, 6).alias(c) for c in ("lo", "median", "hi")])
+    return x.agg(*H.interval(F.col("rel"))).select(*rounded("lo", "median", "hi"))
+
 
+#: Two groups of two runs each, scored on the same documents; the runs of a group differ by a factor.
+RUNS = {"a": (1.0, 1.002), "b": (0.999, 1.004)}
+GROUPS = ", ".join(f"sum(nats_{g} * CAST({f} AS DOUBLE)) / ({LN2} * sum(chars)) AS {g}{k}" for g, fs in RUNS.items() for k, f in enumerate(fs))
 
-@query(f"""WITH {STRATA}, m AS (SELECT b, avg(bpc) AS bpc FROM x GROUP BY b)
-SELECT round(quantile_cont(bpc, 0.025), 6) AS lo, round(quantile_cont(bpc, 0.5), 6) AS median, round(quantile_cont(bpc, 0.975), 6) AS hi FROM m""")
+
+@query(f"""WITH {PAIRS}, x AS (SELECT b, {GROUPS} FROM {ALL} GROUP BY b), y AS (SELECT {GROUPS} FROM p),
+z AS (SELECT quantile_cont((a0 + a1) / 2 - (b0 + b1) / 2, 0.025) AS lo, quantile_cont((a0 + a1) / 2 - (b0 + b1) / 2, 0.975) AS hi FROM x)
+SELECT round((a0 + a1) / 2 - (b0 + b1) / 2, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi FROM y, z""")
 def bootstrap_group_mean(spark, sf_dir):
-    x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / (F.ln(F.lit(2.0)) * F.col("c"))).alias("bpc"))
-    return x.agg(*H.interval(F.col("bpc"))).select(*[F.round(c, 6).alias(c) for c in ("lo", "median", "hi")])
+    return group_mean(spark, sf_dir).select(*rounded("diff", "lo", "hi"))
+
+
+def group_mean(spark, sf_dir) -> DataFrame:
+    p = both(spark, sf_dir)
+    runs = {g: [F.col(f"nats_{g}") * f for f in fs] for g, fs in RUNS.items()}
+    return H.group_mean_bootstrap(p, runs["a"], runs["b"], RESAMPLES)
 
 
 INTERVALS = "v AS (SELECT domain, quantile_cont(rel, 0.025) AS lo, quantile_cont(rel, 0.975) AS hi FROM x GROUP BY domain)"
@@ -62,11 +71,10 @@ def decide(spark, sf_dir):
     return v.agg(H.decide(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-@query(f"""WITH {STRATA}, m AS (SELECT b, avg(rel) AS rel FROM x GROUP BY b)
-SELECT CASE WHEN quantile_cont(rel, 0.975) < 0 THEN 'small' ELSE 'large' END AS choice FROM m""")
+@query(f"""WITH {PAIRS}, x AS (SELECT b, {GROUPS} FROM {ALL} GROUP BY b)
+SELECT CASE WHEN quantile_cont((a0 + a1) / 2 - (b0 + b1) / 2, 0.975) < 0 THEN 'small' ELSE 'large' END AS choice FROM x""")
 def choose_n(spark, sf_dir):
-    x = by_domain(spark, sf_dir).groupBy("b").agg(F.avg(F.col("a") / F.col("b_") - 1).alias("rel"))
-    return x.agg(F.when(F.percentile("rel", 0.975) < 0, "small").otherwise("large").alias("choice"))
+    return group_mean(spark, sf_dir).select(F.when(F.col("hi") < 0, "small").otherwise("large").alias("choice"))
 
 
 @query(f"""WITH {STRATA}, {INTERVALS}, r AS (SELECT domain, 1 - sum(CASE WHEN run = 'a' THEN tokens END) / (2.0 * sum(CASE WHEN run = 'b' THEN tokens END)) AS reduction FROM s GROUP BY domain)
@@ -78,17 +86,18 @@ def noninferiority(spark, sf_dir):
     return j.agg(H.non_inferior(F.col("reduction"), F.col("hi")).alias("non_inferior"), H.non_inferior(F.col("reduction"), F.col("hi"), least=0.75).alias("strict"))
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT *, ntile_ AS part FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY chars, i) <= (count(*) OVER ()) // 2 THEN 'short' ELSE 'long' END AS ntile_ FROM p))
-SELECT part, round((sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars)), 6) AS diff, count(*) FILTER (nats_a < nats_b) AS favours_a, count(*) AS n FROM t GROUP BY part""")
+DIFF = f"(sum(nats_a) - sum(nats_b)) / ({LN2} * sum(chars))"
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT *, row_number() OVER (ORDER BY chars, i) - 1 AS k, count(*) OVER () AS n FROM p),
+d AS (SELECT i, chars, nats_a, nats_b, unnest(['all', CASE WHEN k < floor(n * CAST(0.95 AS DOUBLE)) THEN 'shortest 95%' END, CASE WHEN k < n // 2 THEN 'short' ELSE 'long' END, CASE WHEN i % 2 = 1 THEN 'second set' END]) AS part FROM t),
+g AS (SELECT part, {DIFF} AS diff, count(*) FILTER (nats_a < nats_b) AS favours_a, count(*) AS n FROM d WHERE part IS NOT NULL GROUP BY part)
+SELECT part, round(diff, 6) AS diff, favours_a, n, (diff > 0) = (max(CASE WHEN part = 'all' THEN diff END) OVER () > 0) AS same_sign FROM g""")
 def sensitivity(spark, sf_dir):
-    p = both(spark, sf_dir)
-    k, n = F.row_number().over(Window.orderBy("chars", "i")), F.count("*").over(Window.partitionBy())
-    p = p.withColumns({"k": k, "n": n}).withColumn("part", F.when(F.col("k") <= F.floor(F.col("n") / 2), "short").otherwise("long"))
-    diff = (F.sum("nats_a") - F.sum("nats_b")) / (F.ln(F.lit(2.0)) * F.sum("chars"))
-    return p.groupBy("part").agg(F.round(diff, 6).alias("diff"), F.count_if(F.col("nats_a") < F.col("nats_b")).alias("favours_a"), F.count("*").alias("n"))
+    return H.sensitivity(both(spark, sf_dir), F.col("i") % 2 == 1).withColumn("diff", F.round("diff", 6))
 
 
-@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n01, count(*) FILTER (quality = 0 AND toxic = 0) AS n10 FROM labels WHERE doc_id % 9 = 0),
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n01, count(*) FILTER (quality = 0 AND toxic = 0) AS n10 FROM labels),
 t AS (SELECT n01, n10, sum(exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(CAST(2 AS DOUBLE)))) AS tail FROM c, unnest(range(least(n01, n10) + 1)) u(i) GROUP BY n01, n10)
 SELECT n01 AS a_only, n10 AS b_only, round(CASE WHEN n01 + n10 = 0 THEN 1 ELSE least(1, 2 * tail) END, 9) AS p_value FROM t""")
 def mcnemar(spark, sf_dir):
@@ -98,31 +107,67 @@ def mcnemar(spark, sf_dir):
     return c.withColumn("p_value", F.round(H.mcnemar_p(F.col("a_only"), F.col("b_only")), 9))
 
 
-@query()
+def t_sql(df: str) -> str:
+    """The 0.975 quantile of Student's t for whole degrees of freedom, in DuckDB: the finite series in the angle, halved to a double's end."""
+    term = "exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + 2 * j * ln(cos(a)))"
+    odd = "exp(lgamma(j + 1) - lgamma(j + 1.5) + ln(sqrt(pi()) / 2) + 2 * j * ln(cos(a)))"
+    even = f"sin(a) * coalesce(list_sum(list_transform(range(df // 2), lambda j: {term})), 0)"
+    odd = f"2 / pi() * (a + sin(a) * cos(a) * coalesce(list_sum(list_transform(range((df - 1) // 2), lambda j: {odd})), 0))"
+    central = f"CASE WHEN df % 2 = 0 THEN {even} ELSE {odd} END"
+    return f"""h AS (SELECT df, 0 AS step, CAST(0 AS DOUBLE) AS lo, pi() / 2 AS hi FROM ({df}) UNION ALL
+SELECT df, step + 1, CASE WHEN {central} < 0.95 THEN a ELSE lo END, CASE WHEN {central} < 0.95 THEN hi ELSE a END FROM (SELECT *, (lo + hi) / 2 AS a FROM h) WHERE step < 60),
+q AS (SELECT df, sqrt(df) * tan((lo + hi) / 2) AS t FROM h WHERE step = 60)"""
+
+
+@query(f"WITH RECURSIVE {t_sql('SELECT unnest(range(1, 31)) AS df')} SELECT df, round(t, 6) AS t FROM q")
 def t_threshold(spark, sf_dir):
     return spark.range(1, 31).select(F.col("id").alias("df"), F.round(H.t_quantile_udf(F.lit(0.975), F.col("id").cast("double")), 6).alias("t"))
 
 
-@query()
+TAIL = "list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))"
+LOWER = f"""c AS (SELECT toxic, CAST(sum(quality) AS BIGINT) AS k, count(*) AS n FROM labels GROUP BY toxic),
+h AS (SELECT *, 0 AS step, CAST(0 AS DOUBLE) AS lo, k / CAST(n AS DOUBLE) AS hi FROM c UNION ALL
+SELECT toxic, k, n, step + 1, CASE WHEN {TAIL} < 0.025 THEN p ELSE lo END, CASE WHEN {TAIL} < 0.025 THEN hi ELSE p END FROM (SELECT *, (lo + hi) / 2 AS p FROM h) WHERE step < 50),
+l AS (SELECT toxic, k, n, CASE WHEN k = 0 THEN 0 ELSE (lo + hi) / 2 END AS lower FROM h WHERE step = 50)"""
+
+
+@query(f"WITH RECURSIVE {LOWER} SELECT toxic, k, n, round(lower, 9) AS lower FROM l")
 def binomial_lower(spark, sf_dir):
     c = io.table(spark, sf_dir, "labels").groupBy("toxic").agg(F.sum("quality").cast("long").alias("k"), F.count("*").alias("n"))
     return c.withColumn("lower", F.round(H.binomial_lower_udf("k", "n"), 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {LOWER} SELECT toxic, round(lower, 9) > 0.25 AS included FROM l")
 def inclusion(spark, sf_dir):
     c = binomial_lower(spark, sf_dir)
     return c.select("toxic", (F.col("lower") > 0.25).alias("included"))
 
 
-@query()
+SEEDS = f"""{SCORES}, e AS (SELECT domain, i % 3 AS seed, sum(nats) / ({LN2} * sum(chars)) AS bpc FROM s GROUP BY ALL),
+sp AS (SELECT CAST(count(*) AS BIGINT) AS k, sqrt(avg((x.bpc - y.bpc) * (x.bpc - y.bpc))) AS sigma FROM e x JOIN e y ON x.domain = y.domain AND x.seed > 0 AND y.seed = 0)"""
+
+
+@query(f"WITH RECURSIVE {SEEDS}, {t_sql('SELECT k AS df FROM sp')} SELECT k, round(t * sigma, 6) AS threshold FROM sp JOIN q ON df = k")
 def noise_threshold(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    seed = s.groupBy("domain", (F.col("i") % 3).alias("seed")).agg(X.bpc(F.col("nats"), F.col("chars")).alias("bpc"))
-    first = seed.filter("seed = 0").select("domain", F.col("bpc").alias("base"))
-    d = seed.filter("seed > 0").join(first, "domain").select((F.col("bpc") - F.col("base")).alias("d"))
-    a = d.agg(F.count("*").alias("k"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("sigma"))
-    return a.select("k", F.round(H.t_quantile_udf(F.lit(0.975), F.col("k").cast("double")) * F.col("sigma"), 6).alias("threshold"))
+    return seed_noise(spark, sf_dir).withColumn("threshold", F.round("threshold", 6))
+
+
+def seed_noise(spark, sf_dir) -> DataFrame:
+    s = scores(spark, sf_dir).groupBy("domain", (F.col("i") % 3).alias("seed")).agg(X.bpc(F.col("nats"), F.col("chars")).alias("bpc"))
+    return H.noise_threshold(s, "domain", "seed", "bpc")
+
+
+@query(f"""WITH RECURSIVE {STRATA}, v AS (SELECT domain, quantile_cont(bpc_a - bpc_b, 0.025) AS lo, quantile_cont(bpc_a - bpc_b, 0.975) AS hi FROM x GROUP BY domain),
+e AS (SELECT domain, i % 3 AS seed, sum(nats) / ({LN2} * sum(chars)) AS bpc FROM s GROUP BY ALL),
+sp AS (SELECT CAST(count(*) AS BIGINT) AS k, sqrt(avg((x.bpc - y.bpc) * (x.bpc - y.bpc))) AS sigma FROM e x JOIN e y ON x.domain = y.domain AND x.seed > 0 AND y.seed = 0),
+{t_sql('SELECT k AS df FROM sp')}, f AS (SELECT domain, {DIFF} AS diff FROM p GROUP BY domain)
+SELECT domain, CASE WHEN NOT (lo > 0 OR hi < 0) OR abs(diff) <= t * sigma THEN 'not resolved' WHEN diff < 0 THEN 'A lower' ELSE 'A higher' END AS direction FROM f JOIN v USING (domain), sp, q""")
+def direction(spark, sf_dir):
+    bpc = lambda c: F.col(c) / (F.ln(F.lit(2.0)) * F.col("c"))
+    v = by_domain(spark, sf_dir).groupBy("domain").agg(*H.interval(bpc("a") - bpc("b_")))
+    wide = scores(spark, sf_dir).groupBy("domain").pivot("run", ["a", "b"]).agg(X.bpc(F.col("nats"), F.col("chars")))
+    j = wide.select("domain", (F.col("a") - F.col("b")).alias("diff")).join(v, "domain").crossJoin(F.broadcast(seed_noise(spark, sf_dir).select("threshold")))
+    return j.select("domain", H.direction((F.col("lo") > 0) | (F.col("hi") < 0), F.col("diff"), F.col("threshold")).alias("direction"))
 
 
 @query(f"""WITH {SCORES}, g AS (SELECT domain, i % 2 AS depth, run, sum(nats) / ({LN2} * sum(chars)) AS bpc FROM s GROUP BY ALL)

@@ -108,10 +108,17 @@ def roundtrip(spark, sf_dir):
 
 @query()
 def token_pieces(spark, sf_dir):
-    merges = learnt(spark, sf_dir)[1]
-    rank = {m: k for k, m in enumerate(merges[:30])}
-    rows = [(a + b, T.encode_symbols(list(a + b), rank)) for a, b in merges[30:]]
-    return spark.createDataFrame(rows, "token string, pieces array<string>").filter(F.array_join("pieces", "") == F.col("token"))
+    ids, merges = learnt(spark, sf_dir)
+    base = {t: i for t, i in ids.items() if i < 286}
+    pieces = T.base_pieces(list(ids), merges[:30], base, ids)
+    return spark.createDataFrame(list(pieces.items()), "token string, pieces array<string>")
+
+
+@query()
+def retrofit_tokens(spark, sf_dir):
+    ids, merges = learnt(spark, sf_dir)
+    encoded = T.encode(docs(spark, sf_dir).select("doc_id", "text"), X.STAGE1, merges)
+    return T.new_token_uses(encoded, "tokens", {t for t, i in ids.items() if i < 286}, merges)
 
 
 @query()

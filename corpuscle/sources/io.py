@@ -81,8 +81,13 @@ def tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """vocab(token, id) and merges(rank, left, right) of a tokenizer file; refuses what is no byte-level BPE."""
     data = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     model = data.get("model", {})
-    if model.get("type", "BPE") != "BPE":
+    if model.get("type") != "BPE":
         raise ValueError("not a BPE tokenizer")
+    before = data.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", []) if before.get("type") == "Sequence" else []
+    kinds = [s.get("type") for s in steps]
+    if kinds.count("Split") != 1 or "ByteLevel" not in kinds:
+        raise ValueError("exactly one Split and a ByteLevel step are needed")
     merges = []
     for k, m in enumerate(model["merges"]):
         pair = m.split(" ") if isinstance(m, str) else list(m)
@@ -93,3 +98,22 @@ def tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return vocab, spark.createDataFrame(merges, "rank int, left string, right string")
 
 
+def run_folders(spark: SparkSession, root: str, pattern: str) -> dict[str, str]:
+    """name, folder of the runs below ``root``: files whose path matches ``pattern``, named by its first group; a run found in two folders is refused."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    found = files.select(F.regexp_extract("path", pattern, 1).alias("name"), F.regexp_extract("path", f"^(.*?{pattern})", 1).alias("folder")).filter("name <> ''").distinct()
+    out: dict[str, str] = {}
+    for name, folder in found.orderBy("name", "folder").collect():
+        if out.setdefault(name, folder) != folder:
+            raise ValueError(f"two copies of {name}: {out[name]} and {folder}")
+    return out
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a table of text, for reports; more than ``most`` rows are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [df.columns, ["-"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
+    return "\n".join(f"| {' | '.join(x)} |" for x in lines)
