@@ -140,9 +140,10 @@ def test_parts_extend_and_resume(spark, tmp_path):
     progress.extend_parts(spark, docs, short, 3, "s", 100, 300, held)
     assert read(short)[: len(first)] == first and texts(short)[: len(texts(whole))] == texts(whole)[: len(texts(short))]
     assert sum(r[4] for r in read(short)) >= 300 and sum(r[3] for r in read(short)) <= 1
-    for bad in (lambda: progress.extend_parts(spark, docs, short, 4, "s", 100, 300, held), lambda: progress.extend_parts(spark, docs, short, 3, "other", 100, 300, held), lambda: progress.extend_parts(spark, docs, str(tmp_path / "big"), 3, "s", 100, 10**6, held)):
-        with pytest.raises(ValueError):
-            bad()
+    with pytest.raises(ValueError, match="another seed"):
+        progress.extend_parts(spark, docs, short, 4, "s", 100, 300, held)
+    with pytest.raises(ValueError, match="holds only"):
+        progress.extend_parts(spark, docs.limit(0), str(tmp_path / "big"), 3, "s", 100, 300, held)
     spark.read.parquet(f"{whole}/part=1").limit(1).write.mode("overwrite").parquet(f"{short}/part=0")
     with pytest.raises(ValueError, match="changed"):
         progress.extend_parts(spark, docs, short, 3, "s", 100, 300, held)
