@@ -1,12 +1,14 @@
 """Near-duplicate texts by BagMinHash over multisets of five-word shingles.
 
 A shingle with count c owns the weight interval (0, c]. Dyadic strips of that
-interval, (0,1], (1,2], (2,4], ..., carry Poisson processes whose points depend
-on shingle and strip alone; a point beyond c is thinned out. Every point falls
-on one random slot of the signature, which keeps its earliest. A text stops
-making points once they come later than all of its slots, so the work grows
-with shingles plus slots, not with their product, and two slots agree with the
-weighted Jaccard similarity as probability.
+interval, (0,1], (1,2], (2,4], ..., are roots of trees of Poisson processes: each
+process has a first point, which one of its halves inherits, while the other half
+waits for a point of its own; processes of width one go on point by point. Points
+depend on shingle and interval alone. Halves beyond c are left out, and the point
+of a process within c falls on one random slot of the signature, which keeps its
+earliest. A process whose point comes later than all slots of its text ends with
+all its halves, so the work grows with shingles plus slots, not with their product,
+and two slots agree with the weighted Jaccard similarity as probability.
 
 Signatures are banded; members of a bucket are compared with the bucket's pivot;
 where components still differ, the bucket is compared wholly, in blocks. Links
@@ -31,7 +33,7 @@ SHINGLE, BANDS, ROWS = 5, 24, 5
 #: Distinct shingles whose points are made together: about 20 MB.
 STRIPS = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MASK = (1 << 64) - 1
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _words: dict[str, int] = {}
 
@@ -43,6 +45,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def wait(point: np.ndarray) -> np.ndarray:
+    """The exponential waiting time that a point's hash stands for."""
+    return -np.log((point >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+
+
 def word_hash(word: str) -> int:
     got = _words.get(word)
     if got is None:
@@ -80,44 +87,73 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
     """The earliest point of each slot, one row per bag; empty bags stay infinite."""
     sig = np.full(len(bags) * slots, np.inf)
-    key, doc, low, width, count = [], [], [], [], []
+    latest = np.full(len(bags), np.inf)
+
+    def first(base, low, width):
+        """Key of the process over (low, low + width] of a shingle, the hash of its first point and the wait for it."""
+        key = mix(base + low.astype(np.uint64) * GOLDEN + width.astype(np.uint64))
+        point = mix(key)
+        return key, point, wait(point) / width
+
+    def offer(doc, time, point):
+        slot = ((mix(point ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+        np.minimum.at(sig, doc * slots + slot.astype(np.int64), time)
+
+    def settle(docs):
+        latest[docs] = sig.reshape(-1, slots)[docs].max(1)
+
+    # Roots: the dyadic strips below each count, and the one that holds it.
+    roots = []
     for d, (ids, counts) in enumerate(bags):
-        lo, wide = 0, 1
-        live, c = ids, counts
-        while len(live):
-            key.append(mix(live + np.uint64((lo * 0x9E3779B97F4A7C15 + 1) & MASK)))
-            doc.append(np.full(len(live), d))
-            low.append(np.full(len(live), lo))
-            width.append(np.full(len(live), wide))
-            count.append(c)
-            lo, wide = lo + wide, max(1, lo + wide)
-            more = c > lo
-            live, c = live[more], c[more]
-    if not key:
+        low, width, base, count = 0, 1, ids, counts
+        while len(base):
+            roots.append((base, np.full(len(base), d), np.full(len(base), low), np.full(len(base), width), count))
+            low, width = low + width, max(1, low + width)
+            more = count > low
+            base, count = base[more], count[more]
+    if not roots:
         return sig.reshape(-1, slots)
-    key, doc, low, width, count = map(np.concatenate, (key, doc, low, width, count))
-    t, latest = np.zeros(len(key)), np.full(len(bags), np.inf)
-    made = 0
+    base, doc, low, width, count = (np.concatenate(x) for x in zip(*roots, strict=True))
+    key, point, time = first(base, low, width)
+    nodes, leaves = (base, key, doc, low, width, count, point, time), []
+    while len(nodes[0]):
+        base, key, doc, low, width, count, point, time = nodes
+        whole = low + width <= count
+        offer(doc[whole], time[whole], point[whole])
+        settle(np.unique(doc[whole]))
+        live = time < latest[doc]
+        leaf = live & (width == 1)
+        leaves.append((key[leaf], doc[leaf], time[leaf]))
+        base, doc, low, width, count, point, time = (x[live & (width > 1)] for x in (base, doc, low, width, count, point, time))
+        # The point falls into one half; the other half waits for its own from then on.
+        half = width // 2
+        right = (mix(point + width.astype(np.uint64) * GOLDEN) >> np.uint64(63)).astype(np.int64)
+        heir, other = low + right * half, low + (1 - right) * half
+        own, drawn, gap = first(base, other, half)
+        heir_key = first(base, heir, half)[0]
+        both = [(base, base), (heir_key, own), (doc, doc), (heir, other), (half, half), (count, count), (point, drawn), (time, time + gap)]
+        nodes = tuple(np.concatenate(x) for x in both)
+        inside = (nodes[3] < nodes[5]) & (nodes[7] < latest[nodes[2]])
+        nodes = tuple(x[inside] for x in nodes)
+    key, doc, time = (np.concatenate(x) for x in zip(*leaves, strict=True))
+    live = time < latest[doc]
+    key, doc, time = key[live], doc[live], time[live]
+    made = 1
     while len(key):
-        # Few live strips: several successive points of each at once.
+        # Few live processes: several successive points of each at once.
         block = int(np.clip(4096 // len(key), 1, 64))
-        j = np.arange(made, made + block, dtype=np.uint64)
-        h = mix(key[:, None] + j * np.uint64(0xD1342543DE82EF95))
-        gap = -np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / width[:, None]
+        point = mix(key[:, None] + np.arange(made, made + block, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        gap = wait(point)
         # Added one after the other, so that a point is the same number whatever the block.
         times = np.empty_like(gap)
         for i in range(block):
-            t = t + gap[:, i]
-            times[:, i] = t
-        h2 = mix(h ^ np.uint64(0xA0761D6478BD642F))
-        slot = ((h2 >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
-        place = low[:, None] + 1 + (((h2 & np.uint64(0xFFFFFFFF)) * width[:, None].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        use = (place <= count[:, None]) & (times < latest[doc][:, None])
-        np.minimum.at(sig, (doc[:, None] * slots + slot.astype(np.int64))[use], times[use])
-        seen = np.unique(doc)
-        latest[seen] = sig.reshape(-1, slots)[seen].max(1)
-        live = t < latest[doc]
-        key, doc, low, width, count, t = (x[live] for x in (key, doc, low, width, count, t))
+            time = time + gap[:, i]
+            times[:, i] = time
+        use = times < latest[doc][:, None]
+        offer(np.broadcast_to(doc[:, None], use.shape)[use], times[use], point[use])
+        settle(np.unique(doc))
+        live = time < latest[doc]
+        key, doc, time = key[live], doc[live], time[live]
         made += block
     return sig.reshape(-1, slots)
 

@@ -188,6 +188,22 @@ def test_signatures_estimate_weighted_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(bagminhash.similarity(a, b), abs=0.02)
 
 
+@pytest.mark.parametrize(("most", "seed"), [(2, 1), (30, 2), (3000, 3)])
+def test_signatures_of_all_counts(most, seed):
+    """No bias at small, middle and large counts, and the same points whatever texts are signed together."""
+    rng = np.random.default_rng(seed)
+    ids = np.sort(rng.integers(0, 2**62, 12).astype(np.uint64))
+    a, b = (ids, rng.integers(1, most, 12) if most > 2 else np.ones(12, np.int64)), (ids[2:], rng.integers(1, most, 10) if most > 2 else np.full(10, 2))
+    s = bagminhash.signatures([a, b], 20_000)
+    assert (s[0] == s[1]).mean() == pytest.approx(bagminhash.similarity(a, b), abs=0.02)
+    small = bagminhash.signatures([a, (ids[:0], a[1][:0]), b, a], 64)
+    assert np.isinf(small[1]).all() and (small[0] == small[3]).all()
+    assert (bagminhash.signatures([b], 64)[0] == small[2]).all()
+    one, two = (ids[:1], np.array([40_000])), (ids[:1], np.array([39_999]))
+    s = bagminhash.signatures([one, two], 256)
+    assert (s[0] == s[1]).mean() > 0.97 and np.isfinite(s).all()
+
+
 def test_blocks_lose_no_link():
     rng = np.random.default_rng(2)
     common = [f"c{k}" for k in range(100)]
