@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,6 @@ STRIPS = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_words: dict[str, int] = {}
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit mixer."""
@@ -50,15 +49,6 @@ def wait(point: np.ndarray) -> np.ndarray:
     return -np.log((point >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
 
 
-def word_hash(word: str) -> int:
-    got = _words.get(word)
-    if got is None:
-        if len(_words) > 50_000:
-            _words.clear()
-        got = _words[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    return got
-
-
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -67,7 +57,7 @@ def bag(words: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles as 64-bit hashes, and their counts. Fewer than k words are one shingle, none are none."""
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(k, len(h))
     n = len(h) - size + 1
     s = np.full(n, size, np.uint64)
