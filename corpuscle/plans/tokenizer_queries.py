@@ -117,17 +117,16 @@ def token_pieces(spark, sf_dir):
 @query()
 def retrofit_tokens(spark, sf_dir):
     ids, merges = learnt(spark, sf_dir)
-    encoded = T.encode(docs(spark, sf_dir).select("doc_id", "text"), X.STAGE1, merges)
-    return T.new_token_uses(encoded, "tokens", {t for t, i in ids.items() if i < 286}, merges)
+    return T.new_token_uses(T.token_counts(docs(spark, sf_dir), X.STAGE1, merges), {t for t, i in ids.items() if i < 286}, merges)
 
 
 @query()
 def retrofit_report(spark, sf_dir):
     merges = learnt(spark, sf_dir)[1]
-    d = docs(spark, sf_dir).select("doc_id", "lang", "text")
-    d = T.encode(T.encode(d, X.STAGE1, merges[:30], out="base"), X.STAGE1, merges, out="new")
-    chars, base, new = F.sum(F.length("text")), F.sum(F.size("base")), F.sum(F.size("new"))
-    return d.groupBy("lang").agg(F.round(chars / base, 6).alias("base_chars_per_token"), F.round(chars / new, 6).alias("new_chars_per_token"), F.round(new / base - 1, 6).alias("token_change"), F.count_if(T.decode("new") == F.col("text")).alias("round_trips"), F.count_if(F.col("new") == F.col("base")).alias("identical"))
+    d = docs(spark, sf_dir).select("lang", "text", F.length("text").alias("chars"))
+    d = T.compare_encodings(d, X.STAGE1, merges[:30], merges, keep=("lang", "chars"))
+    chars, base, new = F.sum("chars"), F.sum("base"), F.sum("new")
+    return d.groupBy("lang").agg(F.round(chars / base, 6).alias("base_chars_per_token"), F.round(chars / new, 6).alias("new_chars_per_token"), F.round(new / base - 1, 6).alias("token_change"), F.count_if("round_trip").alias("round_trips"), F.count_if("identical").alias("identical"))
 
 
 VOCAB = r"v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,4}')) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 200))"
