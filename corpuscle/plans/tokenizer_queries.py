@@ -123,10 +123,18 @@ def retrofit_tokens(spark, sf_dir):
 @query()
 def retrofit_report(spark, sf_dir):
     merges = learnt(spark, sf_dir)[1]
+    base = T.vocabulary(merges[:30])
     d = docs(spark, sf_dir).select("lang", "text", F.length("text").alias("chars"))
-    d = T.compare_encodings(d, X.STAGE1, merges[:30], merges, keep=("lang", "chars"))
-    chars, base, new = F.sum("chars"), F.sum("base"), F.sum("new")
-    return d.groupBy("lang").agg(F.round(chars / base, 6).alias("base_chars_per_token"), F.round(chars / new, 6).alias("new_chars_per_token"), F.round(new / base - 1, 6).alias("token_change"), F.count_if("round_trip").alias("round_trips"), F.count_if("identical").alias("identical"))
+    d = T.compare_encodings(d, X.STAGE1, merges[:30], merges, keep=("lang", "chars"), of=T.vocabulary(merges) - base)
+    # A text counts once, in the row without a token, and once more for each new token it has.
+    d = d.withColumn("token", F.explode(F.concat(F.array(F.lit(None).cast("string")), "used"))).groupBy("lang", "token")
+    sums = {"docs": F.count("*"), "chars": F.sum("chars"), "base": F.sum("base"), "new": F.sum("new"), "round_trips": F.count_if("round_trip"), "identical": F.count_if("identical")}
+    d = d.agg(*[v.alias(k) for k, v in sums.items()])
+    d = d.groupBy("lang").agg(*[F.max(F.when(F.isnull("token"), F.col(k))).alias(k) for k in sums], F.count("token").alias("used"))
+    n = T.new_tokens(spark, base, merges, X.STAGE1)
+    n = n.agg(F.count("*").alias("new_tokens"), F.count_if("whole").alias("whole"), F.count_if(~F.col("whole")).alias("partial"), F.count_if("reachable").alias("reachable"))
+    rates = {"base_chars_per_token": F.try_divide("chars", "base"), "new_chars_per_token": F.try_divide("chars", "new"), "token_change": F.try_divide("new", "base") - 1}
+    return d.crossJoin(F.broadcast(n)).select("lang", "docs", "chars", *[F.round(v, 6).alias(k) for k, v in rates.items()], "round_trips", "identical", "new_tokens", "whole", "partial", "reachable", "used")
 
 
 VOCAB = r"v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,4}')) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 200))"

@@ -133,6 +133,49 @@ def test_encoders(spark, learnt):
         assert report.loc[lang, "round_trips"] == len(part)
 
 
+def report_of_new(d, merges):
+    """lang -> docs, chars, new_tokens, whole, partial, reachable, used, by encoding every text."""
+    rank, back, seen = {m: k for k, m in enumerate(merges)}, {c: b for b, c in byte_alphabet().items()}, {}
+
+    def encode(text):
+        return [s for p in isolated(X.STAGE1, text) for s in seen.setdefault(p, bpe.encode_symbols(bpe.to_symbols(p), rank))]
+
+    new, whole = {a + b for a, b in merges} - {*back, *(a + b for a, b in merges[:30])}, {}
+    for t in new:
+        try:
+            whole[t] = bytes(back[c] for c in t).decode()
+        except UnicodeDecodeError:
+            pass
+    reachable = sum(encode(text) == [t] for t, text in whole.items())
+    out = {}
+    for lang, part in d.groupby("lang", dropna=False):
+        texts = [t or "" for t in part["text"]]
+        out[lang if isinstance(lang, str) else None] = (len(texts), sum(map(len, texts)), len(new), len(whole), len(new) - len(whole), reachable, len(new & {t for x in texts for t in encode(x)}))
+    return out
+
+
+REPORT = ["docs", "chars", "new_tokens", "whole", "partial", "reachable", "used"]
+
+
+def test_retrofit_report_counts_new_tokens(spark, learnt):
+    report = got(spark, "retrofit_report")
+    want = report_of_new(pd.read_parquet(f"{SF}/documents.parquet"), learnt[1])
+    assert dict(zip(report["lang"], map(tuple, report[REPORT].astype(int).to_numpy().tolist()), strict=True)) == want
+
+
+def test_retrofit_report_of_odd_texts(spark, tmp_path):
+    # Common words take the base's merges; then come parts of characters and a token that the split would cut.
+    texts = [("a", "abcdefghijklmnopqrstuvwxyzabcdefg " * 40), ("a", "xx.\n/yy.\n/ " * 15), ("a", "ệ ở ữ 🎉 " * 9), ("b", "ệ"), ("b", "xx.\n/"), ("b", ""), ("none", ""), (None, "defg ở\n/"), ("b", "\n/" * 5)]
+    d = pd.DataFrame(texts, columns=["lang", "text"]).assign(doc_id=range(len(texts)))
+    d.to_parquet(tmp_path / "documents.parquet")
+    rows = {r["lang"]: r for r in catalog.queries()["retrofit_report"](spark, f"file://{tmp_path}").collect()}
+    want = report_of_new(d, merges_of([t for _, t in texts], X.STAGE1, 60)[1])
+    assert {k: tuple(r[c] for c in REPORT) for k, r in rows.items()} == want
+    _, _, new, whole, partial, reachable, used = want["a"]
+    assert 0 < partial < new and 0 < reachable < whole and want["b"][-1] < used
+    assert rows["none"]["token_change"] is None and rows["none"]["round_trips"] == rows["none"]["identical"] == 1
+
+
 @pytest.mark.parametrize("name,pattern", [("pretokenize", X.STAGE1), ("pretokenize_super", X.STAGE2)])
 def test_pieces(spark, name, pattern):
     d = pd.read_parquet(f"{SF}/documents.parquet")
